@@ -9,11 +9,13 @@ from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BAD_ESCAPE = re.compile(r"%(?![0-9A-Fa-f]{2})")
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 _SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:")
-LINKS_SCHEMA = "struct<links:array<string>,hosts:array<string>,hints:array<string>>"
+_TEXTS = T.ArrayType(T.StringType())
+LINKS_SCHEMA = T.StructType([T.StructField(n, _TEXTS) for n in ("links", "hosts", "hints")])
 
 
 def _readable(url: str) -> bool:
@@ -108,7 +110,7 @@ def robots_allow(raw: str | None, url: str, agent: str) -> bool:
     return rules.can_fetch(agent, url)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_http_url_udf(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([resolve_http_url(b, r) for b, r in zip(base, ref, strict=True)], dtype=object)
 
@@ -118,11 +120,11 @@ def extract_links_udf(base: pd.Series, html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extract_links(b, h) for b, h in zip(base, html, strict=True)], columns=["links", "hosts", "hints"])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TEXTS)
 def agentmap_urls_udf(raw: pd.Series, robots_url: pd.Series) -> pd.Series:
     return pd.Series([agentmap_urls(a, b) for a, b in zip(raw, robots_url, strict=True)], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def robots_allow_udf(raw: pd.Series, url: pd.Series, agent: pd.Series) -> pd.Series:
     return pd.Series([robots_allow(*x) for x in zip(raw, url, agent, strict=True)])

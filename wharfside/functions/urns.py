@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FORM = r"(?is)^urn:(air|ai):(.+)$"
 
@@ -33,7 +34,7 @@ def ascii_publisher(identifier: str) -> str:
     return identifier
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii_publishers(s: pd.Series) -> pd.Series:
     return s.map(ascii_publisher, na_action="ignore")
 
