@@ -30,22 +30,27 @@ SCHEMA = "snapshot_id bigint, owner string, urn string, change_kind string, chan
 _NONE = -(2**62)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merger(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Merge one sorted range. Columns: owner, urn, block, seq, snapshot_id, next_id, whole, parts.
 
     The range is sorted by (owner, urn, block, seq). Each row is compared with
     its predecessor in the stream; the last row of a batch waits for the next.
     """
-    waiting: pa.RecordBatch | None = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.RecordBatch | None = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            first = waiting is None or waiting.num_rows == 1
+            if waiting is not None:
+                batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+            yield from _compare(batch, batch.num_rows - 1, first, block)
+            waiting = batch.slice(max(0, batch.num_rows - 2))
         if waiting is not None:
-            batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
-        yield from _compare(batch, batch.num_rows - 1, first=waiting is None, last=False)
-        waiting = batch.slice(max(0, batch.num_rows - 2))
-    if waiting is not None:
-        yield from _compare(waiting, waiting.num_rows, first=waiting.num_rows == 1, last=True)
+            yield from _compare(waiting, waiting.num_rows, waiting.num_rows == 1, block)
+
+    return run
 
 
 def _same_as_before(column: pa.Array) -> np.ndarray:
@@ -58,14 +63,14 @@ def _same_as_before(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _compare(batch: pa.RecordBatch, upto: int, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
-    """Changes that rows before ``upto`` give; row 0 is only context unless ``first``; the row after each is known unless ``last``."""
+def _compare(batch: pa.RecordBatch, upto: int, first: bool, size: int) -> Iterator[pa.RecordBatch]:
+    """Changes that rows before ``upto`` give; row 0 is only context unless ``first``. ``size``: snapshots in a block."""
     n = batch.num_rows
     col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
     same_key = _same_as_before(col["owner"]) & _same_as_before(col["urn"]) & _same_as_before(col["block"])
     seq = col["seq"].to_numpy(zero_copy_only=False)
     block = col["block"].to_numpy(zero_copy_only=False)
-    halo = (seq - 1) // BLOCK != block  # repeated from the block before
+    halo = (seq - 1) // size != block  # repeated from the block before
     follows = same_key & (np.diff(seq, prepend=_NONE) == 1)
     now = np.arange(n) >= (0 if first else 1)
     now &= np.arange(n) < upto
@@ -75,7 +80,7 @@ def _compare(batch: pa.RecordBatch, upto: int, first: bool, last: bool) -> Itera
     next_id = col["next_id"]
     followed = np.append(follows[1:], False)
     # A record is gone after seq when its successor isn't there; the comparison belongs to the block of the successor.
-    gone = now & ~followed & pc.is_valid(next_id).to_numpy(zero_copy_only=False) & ((seq // BLOCK) == block)
+    gone = now & ~followed & pc.is_valid(next_id).to_numpy(zero_copy_only=False) & ((seq // size) == block)
     parts = col["parts"]
     for kind, at, ids in (("added", added, col["snapshot_id"]), ("changed", changed, col["snapshot_id"]), ("removed", gone, next_id)):
         where = np.flatnonzero(at)
@@ -95,7 +100,7 @@ def _changed_mask(parts: pa.Array, where: np.ndarray) -> list[int | None]:
     return [None if a is None or b is None else sum(1 << i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y) for a, b in zip(new, old, strict=True)]
 
 
-def merge_snapshots(records: DataFrame) -> DataFrame:
+def merge_snapshots(records: DataFrame, block: int = BLOCK) -> DataFrame:
     """Typed changes of ``records``: owner, urn, seq, snapshot_id, next_id, whole, parts.
 
     One row per key (owner, urn; nulls are a key like any other) and snapshot.
@@ -105,12 +110,12 @@ def merge_snapshots(records: DataFrame) -> DataFrame:
     null. ``records`` is read twice (for the range bounds) and should be a
     written table.
     """
-    last = (F.col("seq") - 1) % BLOCK == BLOCK - 1
-    own = F.floor((F.col("seq") - 1) / BLOCK).cast("long")
+    last = (F.col("seq") - 1) % block == block - 1
+    own = F.floor((F.col("seq") - 1) / block).cast("long")
     blocks = F.when(last & F.col("next_id").isNotNull(), F.array(own, own + 1)).otherwise(F.array(own))
     keyed = records.select("owner", "urn", F.explode(blocks).alias("block"), "seq", "snapshot_id", "next_id", "whole", "parts")
     ranges = keyed.repartitionByRange("owner", "urn", "block").sortWithinPartitions("owner", "urn", "block", "seq")
-    return ranges.mapInArrow(_merge, SCHEMA)
+    return ranges.mapInArrow(_merger(block), SCHEMA)
 
 
 def _empty_as_null(c: str) -> Column:
@@ -177,7 +182,7 @@ def _catalog_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urns, pa.string()), pa.array(wholes, pa.binary())], names=["id", "urn", "whole"])
 
 
-def catalog_changes(catalogs: DataFrame) -> DataFrame:
+def catalog_changes(catalogs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Changes of top-level entries between successive valid documents of one source_url, by fetched_at, then id.
 
     Documents that are null or not a JSON object are no snapshots; documents
@@ -195,4 +200,4 @@ def catalog_changes(catalogs: DataFrame) -> DataFrame:
     linked = ranked.join(after, F.col("owner").eqNullSafe(F.col("o")) & (F.col("seq") == F.col("s")), "left").drop("o", "s")
     records = read.filter("whole IS NOT NULL").join(linked, "id")
     records = records.select("owner", "urn", "seq", F.col("id").alias("snapshot_id"), "next_id", "whole", F.lit(None).cast("array<bigint>").alias("parts"))
-    return merge_snapshots(write_table(records, "versions"))
+    return merge_snapshots(write_table(records, "versions"), block)
