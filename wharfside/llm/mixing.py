@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wharfside.llm.tokens import TOKENIZER, count_tokens
+from wharfside.llm.tokens import TOKENIZER, token_counts
 from wharfside.scratch import write_table
 
 #: Labelled rows the classifier is fitted on at most, and characters of each used for its features only.
@@ -112,45 +112,52 @@ class Mix:
     history: list[np.ndarray] = field(default_factory=list)
 
 
-def _texts(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, source, text_key, n_tokens) of each distinct text with tokens; source of the smallest doc_id that has one."""
-    key = F.sha2(F.col("text"), 256)
-    lean = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.nullif(F.trim("source"), F.lit("")).alias("source"), "text").filter("doc_id IS NOT NULL AND length(text) > 0")
-    named = F.min(F.when(F.col("source").isNotNull(), F.struct("doc_id", "source")))
-    first = lean.groupBy(key.alias("text_key")).agg(F.min("doc_id").alias("doc_id"), named["source"].alias("source"))
-    first = write_table(first, "texts")
-    # A text's own row is its smallest doc_id; ids are unique in the table, so this join is one to one.
-    own = lean.select("doc_id", "text").join(first, "doc_id").filter(key == F.col("text_key"))
-    return write_table(count_tokens(own, ["doc_id", "source", "text_key"], tokenizer).filter("n_tokens > 0").dropDuplicates(["doc_id"]), "sized")
-
-
-def _classifier(documents: DataFrame, texts: DataFrame, sources: list[str], most: int) -> Classifier:
-    known = texts.filter(F.col("source").isin(sources)).select("doc_id", "source")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # At most ``most`` rows: a proven bound for the broadcast.
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
+def _classifier(documents: DataFrame, sources: list[str], most: int) -> Classifier:
+    """Fitted on at most ``most`` rows whose source is known, chosen by a hash of doc_id."""
+    known = documents.filter(F.trim("source").isin(sources) & (F.length("text") > 0)).select(F.col("doc_id").cast("long").alias("doc_id"))
+    chosen = known.filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # At most ``most`` ids: a proven bound for the broadcast.
+    rows = documents.select("doc_id", F.trim("source").alias("source"), "text").filter(F.col("source").isin(sources)).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
     return Classifier.fit([r.text for r in rows], [r.source for r in rows], sources)
 
 
-def _members(documents: DataFrame, texts: DataFrame, classifier: Classifier) -> DataFrame:
-    """(doc_id, source, n_tokens, posterior): one-hot where the source is known, the classifier's where it isn't."""
+def _members(documents: DataFrame, classifier: Classifier, tokenizer: str) -> DataFrame:
+    """(doc_id, source, n_tokens, posterior) of each distinct text with tokens.
+
+    Tokens, text key and, where the source is unknown, the posterior come from
+    one narrow pass over the texts; only keys and numbers are shuffled. A text
+    stands under its smallest doc_id and has the source of its smallest doc_id
+    that names one. Texts of sources that no target names are left out.
+    """
     sources = classifier.sources
-    onehot = F.array(*[F.when(F.col("source") == s, 1.0).otherwise(0.0) for s in sources])
-    known = texts.filter("source IS NOT NULL").select("doc_id", "source", "n_tokens", onehot.alias("posterior"))
-    asked = texts.filter("source IS NULL").select("doc_id", "n_tokens")
     shared = documents.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Classifier = shared.value
         for b in batches:
-            p = [model.posterior(t) for t in b.column(2).to_pylist()]
-            best = pa.array([model.sources[int(x.argmax())] for x in p], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), best, b.column(1), pa.array([x.tolist() for x in p], pa.list_(pa.float64()))], names=["doc_id", "source", "n_tokens", "posterior"]
-            )
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                texts, named = part.column(3).to_pylist(), part.column(1).to_pylist()
+                posterior = [None if s else model.posterior(t).tolist() for s, t in zip(named, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array(token_counts(texts, tokenizer), pa.int64()), pa.array(posterior, pa.list_(pa.float64()))],
+                    names=["doc_id", "source", "text_key", "n_tokens", "posterior"],
+                )
 
-    guessed = asked.join(documents.select("doc_id", "text"), "doc_id").select("doc_id", "n_tokens", "text").mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, posterior array<double>")
-    return write_table(known.unionByName(guessed), "members")
+    lean = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.nullif(F.trim("source"), F.lit("")).alias("source"), F.sha2(F.col("text"), 256).alias("text_key"), F.col("text").cast("string").alias("text")
+    ).filter("doc_id IS NOT NULL AND length(text) > 0")
+    read = write_table(lean.mapInArrow(run, "doc_id bigint, source string, text_key string, n_tokens bigint, posterior array<double>").filter("n_tokens > 0"), "sized")
+    named = F.min(F.when(F.col("source").isNotNull(), F.struct("doc_id", "source")))
+    texts = read.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), named["source"].alias("source"), F.min("n_tokens").alias("n_tokens"), F.min_by("posterior", "doc_id").alias("guess"))
+    onehot = F.array(*[F.when(F.col("source") == s, 1.0).otherwise(0.0) for s in sources])
+    guess = F.col("guess")
+    likeliest = F.element_at(F.array(*[F.lit(s) for s in sources]), F.array_position(guess, F.array_max(guess)).cast("int"))
+    known = F.col("source").isNotNull()
+    usable = texts.filter(~known | F.col("source").isin(sources))
+    return write_table(
+        usable.select("doc_id", F.when(known, F.col("source")).otherwise(likeliest).alias("source"), "n_tokens", F.when(known, onehot).otherwise(guess).alias("posterior")), "members"
+    )
 
 
 def _rates(posterior: np.ndarray, limit: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
@@ -283,7 +290,6 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
     spark = documents.sparkSession
     if not wanted:
         return spark.createDataFrame([], schema)
-    texts = _texts(documents, tokenizer)
     sources = sorted({r.source for r in wanted})
     mixes = []
     for name in sorted({r.mix_name for r in wanted}):
@@ -292,9 +298,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
             if r.mix_name == name:
                 share[sources.index(r.source)], limit[sources.index(r.source)] = r.share, r["limit"]
         mixes.append(Mix(name, share / share.sum(), limit))
-    # A known source that no mix names has no member column and can't be chosen.
-    usable = texts.filter(F.col("source").isNull() | F.col("source").isin(sources))
-    members = _members(documents, usable, _classifier(documents, texts, sources, most))
+    members = _members(documents, _classifier(documents, sources, most), tokenizer)
     _fit(members, mixes, len(sources), total)
     chosen = write_table(_chosen(members, mixes, len(sources)), "rates")
     cuts = spark.createDataFrame([(m, s, float(t)) for (m, s), t in _thresholds(chosen, mixes, sources).items()], T.StructType.fromDDL("mix_name string, source string, cut double"))
