@@ -69,3 +69,10 @@ def test_pack_texts(spark):
     totals = {r.capacity_id: r for r in packing.container_fill(packing.pack_texts(documents, capacities), capacities).collect()}
     assert totals[2].tokens == sum(sizes) and 0.9 < totals[2].fill <= 1
     assert packing.pack_texts(documents.limit(0), capacities).count() == 0 and packing.pack_texts(documents, capacities.limit(0)).count() == 0
+
+
+def test_both_forms_of_the_tokenizer_agree():
+    rng = random.Random(9)
+    texts = [None, "", " ", "it's  two\n\n lines ", "x" * 3000, " " * 3000, "日本語 café — 12,345 #tag", "<|endoftext|>"]
+    texts += ["".join(rng.choices("ab 1,.\n'日é", k=rng.randint(0, 200))) for _ in range(300)]
+    assert token_counts(texts, TOKENIZER) == token_counts(texts, TOKENIZER.replace(".tiktoken", ".json"))

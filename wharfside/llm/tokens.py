@@ -2,45 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+import os
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Folder and file of the tokenizer; a byte-level BPE of the ``tokenizers`` library.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: File of the tokenizer: a byte-level BPE as ranks (.tiktoken) or for the ``tokenizers`` library (.json).
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: How a byte-level BPE of this vocabulary cuts text before merging. Fixed pattern.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Texts encoded together, and the characters they may have in sum before a batch is cut.
 TEXTS_AT_ONCE, CHARS_AT_ONCE = 256, 2_000_000
 
 
 @lru_cache(2)
-def _tokenizer(path: str):  # noqa: ANN202
-    import os
+def _ranked(path: str) -> Callable[[list[str]], list[int]]:
+    import tiktoken
 
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+
+
+@lru_cache(2)
+def _described(path: str) -> Callable[[list[str]], list[int]]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t
+    return lambda texts: [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def token_counts(texts: list[str | None], path: str) -> list[int]:
     """Tokens of each text; 0 for null and empty. Whole texts are encoded."""
-    t = _tokenizer(path)
+    count = _ranked(path) if path.endswith(".tiktoken") else _described(path)
     out: list[int] = []
     group: list[str] = []
     chars = 0
     for x in texts:
         if group and (len(group) == TEXTS_AT_ONCE or chars + len(x or "") > CHARS_AT_ONCE):
-            out += [len(e) for e in t.encode_batch_fast(group, add_special_tokens=False)]
+            out += count(group)
             group, chars = [], 0
         group.append(x or "")
         chars += len(x or "")
-    if group:
-        out += [len(e) for e in t.encode_batch_fast(group, add_special_tokens=False)]
-    return out
+    return out + count(group) if group else out
 
 
 def count_tokens(documents: DataFrame, keep: list[str], path: str = TOKENIZER, text_col: str = "text") -> DataFrame:
