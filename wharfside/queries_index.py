@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfside.functions import exporttext, hosts, media, urns
+from wharfside.functions import exporttext, hosts, links, media, urns
 from wharfside.operators import export, frontier, reports, store, verify
+from wharfside.sources import seeds
 from wharfside.tables import EXPORT_FIELDS, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -298,3 +299,24 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     probes = table(spark, d, "domains").select(F.col("id").alias("domain_id"), F.col("last_probed_at").cast("timestamp").alias("probed_at"))
     catalogs = table(spark, d, "ard_catalogs").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
     return reports.run_summary(_frontier(spark, d), probes, catalogs, F.to_timestamp(F.lit("2026-01-15 00:00:00")))
+
+
+# --- links and seed sources ---------------------------------------------------------------------
+
+
+@query("SELECT doc_id, url AS link, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM documents WHERE NOT contains(url, '#')")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    page = F.concat(F.lit("<html><a href='mailto:x'>m</a><A HREF=\""), F.col("url"), F.lit("\">p</A><a href='"), F.col("url"), F.lit("#top'>again</a>"))
+    rows = table(spark, d, "documents").filter(~F.col("url").contains("#")).select("doc_id", links.extract_links_udf(F.lit("https://base.example/"), page).alias("l"))
+    return rows.select("doc_id", F.explode("l.links").alias("link"), F.element_at("l.hosts", 1).alias("host"))
+
+
+@query("SELECT host, CAST(rk AS BIGINT) AS ord FROM (SELECT host, row_number() OVER (ORDER BY id) AS rk FROM domains) WHERE rk > 10 ORDER BY rk LIMIT 50")
+def ranked_seeds(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat_ws("\t", F.col("id").cast("string"), F.lit("1"), F.lit("2"), F.lit("3"), hosts.reverse_host(F.col("host")), F.lit("9"))
+    return seeds.ranked_hosts(table(spark, d, "domains").select(F.col("id").alias("ord"), line.alias("line")), 50, offset=10)
+
+
+@query("SELECT host, min(doc_id) AS ord FROM documents WHERE host IS NOT NULL GROUP BY host")
+def first_seen_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return seeds.first_seen(table(spark, d, "documents").select(F.concat(F.lit("*."), F.upper("host"), F.lit(".")).alias("raw"), F.col("doc_id").alias("ord")))
