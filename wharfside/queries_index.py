@@ -304,10 +304,10 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
 # --- links and seed sources ---------------------------------------------------------------------
 
 
-@query("SELECT doc_id, url AS link, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM documents WHERE NOT contains(url, '#')")
+@query("SELECT doc_id, split_part(url, '#', 1) AS link, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM documents")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    page = F.concat(F.lit("<html><a href='mailto:x'>m</a><A HREF=\""), F.col("url"), F.lit("\">p</A><a href='"), F.col("url"), F.lit("#top'>again</a>"))
-    rows = table(spark, d, "documents").filter(~F.col("url").contains("#")).select("doc_id", links.extract_links_udf(F.lit("https://base.example/"), page).alias("l"))
+    page = F.concat(F.lit("<html><a href='mailto:x'>m</a><A HREF=\""), F.col("url"), F.lit("\">p</A><a href='"), F.substring_index("url", "#", 1), F.lit("#top'>again</a>"))
+    rows = table(spark, d, "documents").select("doc_id", links.extract_links_udf(F.lit("https://base.example/"), page).alias("l"))
     return rows.select("doc_id", F.explode("l.links").alias("link"), F.element_at("l.hosts", 1).alias("host"))
 
 
