@@ -143,3 +143,11 @@ def test_dedup_key(spark):
 
     got = spark.range(1).select(dedup_key(F.lit("page_fetch"), F.lit("https://é")).alias("k")).first().k
     assert got == hashlib.sha256("page_fetch:https://é".encode()).hexdigest()
+
+
+def test_reverified_counts_catalogs_without_domain(spark):
+    catalogs = spark.createDataFrame([(1, 1), (2, 1), (3, 9), (4, None)], "id bigint, domain_id bigint")
+    verified = spark.createDataFrame([(1, "invalid"), (2, "valid"), (3, "invalid"), (4, "invalid")], "catalog_id bigint, verdict string")
+    domains = spark.createDataFrame([(1,)], "id bigint")
+    assert tuple(reports.reverified(catalogs, domains, verified).first()) == (4, 1)
+    assert tuple(reports.reverified(catalogs.limit(0), domains, verified).first()) == (0, 0)

@@ -28,7 +28,7 @@ def run_summary(frontier: DataFrame, probes: DataFrame, catalogs: DataFrame, sin
     seen = probes.filter(late("probed_at")).agg(F.count_distinct("domain_id").alias("hosts_probed"))
     good = F.col("verification_status").isin("valid", "valid_with_warnings")
     docs = catalogs.agg(F.count_if(late("fetched_at")).alias("catalogs_found"), F.count_if(late("fetched_at") & good).alias("catalogs_valid"))
-    return work.crossJoin(seen).crossJoin(docs).select("pages_fetched", "hosts_probed", "catalogs_found", "catalogs_valid", "errors")  # three rows of one
+    return _one_row([work, seen, docs], ["pages_fetched", "hosts_probed", "catalogs_found", "catalogs_valid", "errors"])
 
 
 def probe_summary(probes: DataFrame) -> DataFrame:
@@ -45,4 +45,12 @@ def reverified(catalogs: DataFrame, domains: DataFrame, verified: DataFrame) ->
     """One row (reverified, invalid): catalogs without a domain count as re-verified though they are skipped."""
     own = catalogs.select(F.col("id").alias("catalog_id"), "domain_id").join(domains.select(F.col("id").alias("domain_id")), "domain_id", "left_semi")
     bad = own.join(verified.filter("verdict = 'invalid'").select("catalog_id"), "catalog_id", "left_semi")
-    return catalogs.agg(F.count(F.lit(1)).alias("reverified")).crossJoin(bad.agg(F.count(F.lit(1)).alias("invalid")))  # two rows of one
+    return _one_row([catalogs.agg(F.count(F.lit(1)).alias("reverified")), bad.agg(F.count(F.lit(1)).alias("invalid"))], ["reverified", "invalid"])
+
+
+def _one_row(parts: list[DataFrame], columns: list[str]) -> DataFrame:
+    """The single rows of ``parts`` side by side: each column has a value in one part only."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in columns])
