@@ -98,15 +98,17 @@ def number(fresh: DataFrame, frontier: DataFrame) -> DataFrame:
     return ranked.withColumn("id", F.col("__rank") + F.lit(top)).select(*frontier.columns)
 
 
-def dequeue(frontier: DataFrame, n: int, now: Column, worker: str = "", lease_seconds: int = LEASE_SECONDS, shard: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+def dequeue(frontier: DataFrame, n: int, now: Column, worker: str = "", lease_seconds: int = LEASE_SECONDS, shard: tuple[int, int] | None = None, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(leased items, next snapshot): the first n pending items by priority (highest first) and id.
 
     ``shard`` (index, count) restricts to one part of the hosts; a count of 1
-    or less doesn't. A lease of 0 seconds or less has no end. n bounds what is broadcast.
+    or less doesn't. ``only`` (id) restricts to these items. A lease of 0 seconds or less has no end. n bounds what is broadcast.
     """
     ready = frontier.filter(F.col("status") == PENDING)
     if shard and shard[1] > 1:
         ready = ready.filter(F.col("host_shard") % shard[1] == shard[0])
+    if only is not None:
+        ready = ready.join(only.select("id"), "id", "left_semi").select(*frontier.columns)
     taken = ready.orderBy(F.col("priority").desc(), "id").limit(n)
     until = now + F.make_interval(secs=F.lit(lease_seconds)) if lease_seconds > 0 else F.lit(None).cast("timestamp")
     changes = {"status": F.lit(IN_FLIGHT), "leased_until": until, "worker_id": F.lit(worker), "updated_at": now}

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -25,9 +25,9 @@ from wharfside.functions.media import media_kind, parse_media
 from wharfside.functions.slices import list_items, written_member
 from wharfside.operators import frontier as fr
 from wharfside.operators import store, verify
-from wharfside.schemas import empty_state
+from wharfside.schemas import RESPONSES, empty_state
 from wharfside.scratch import write_table
-from wharfside.sources.registry import harvest
+from wharfside.sources.registry import harvest, whole_walks
 
 State = dict[str, DataFrame]
 WELL_KNOWN = "/.well-known/ai-catalog.json"
@@ -84,10 +84,71 @@ def start(spark, seeds: DataFrame, now: datetime) -> State:  # noqa: ANN001
 
 
 def wanted_urls(state: State, n: int) -> DataFrame:
-    """URLs that the next n items need."""
+    """URLs that the next n items need; a page or an artifact needs its host's robots.txt too."""
     ready = state["frontier"].filter("status = 'pending'").orderBy(F.col("priority").desc(), "id").limit(n)
     probe = F.array(F.concat(F.lit("https://"), F.col("host"), F.lit(WELL_KNOWN)), F.concat(F.lit("https://"), F.col("host"), F.lit("/robots.txt")))
-    return ready.select(F.explode(F.when(F.col("kind") == "host_probe", probe).otherwise(F.array("url"))).alias("url")).distinct()
+    ruled = F.array(F.col("url"), F.concat(F.lit("https://"), hosts.host_of(F.col("url")), F.lit("/robots.txt")))
+    urls = F.when(F.col("kind") == "host_probe", probe).when(F.col("kind").isin("page_fetch", "artifact_fetch"), ruled).otherwise(F.array("url"))
+    return ready.select(F.explode(urls).alias("url")).filter("url IS NOT NULL").distinct()
+
+
+def newest(responses: DataFrame) -> DataFrame:
+    """The response of each URL that arrived last, and in ``n`` how many there are; ``responses`` has ``arrived``, which orders them.
+
+    Of several that arrived together a successful one holds.
+    """
+    columns = [c.split(" ")[0] for c in RESPONSES.split(", ")]
+    one = responses.withColumn("__ok", _http_ok()).withColumn("__h", F.xxhash64(*columns)).groupBy("url").agg(
+        F.max_by(F.struct(*[c for c in columns if c != "url"]), F.struct("arrived", "__ok", "__h")).alias("r"), F.count(F.lit(1)).alias("n")
+    )
+    return one.select("url", "r.*", "n").select(*columns, "n")
+
+
+def answerable(state: State, answers: DataFrame, now: datetime, cfg: Config, registry_pages: DataFrame | None = None) -> DataFrame:
+    """(id): the pending items that a step can close with these ``answers`` (``newest``); all others would count as unanswered.
+
+    A host probe needs the answers of both its URLs, unless its host was
+    probed lately; a page or an artifact needs its host's robots.txt and, if
+    that allows it, its own answer; a registry needs every page of its walk, unless it is
+    beyond the referral depth. An item that has failed needs an answer for each attempt, so
+    a failure is not counted again before the next answer has come.
+    """
+    pending = state["frontier"].filter("status = 'pending'")
+    have = answers.select(F.col("url").alias("__u"), "n")
+    fetches = pending.filter("kind <> 'host_probe' AND kind <> 'registry_harvest'").join(have, F.col("url") == F.col("__u"), "left")
+    own = F.coalesce(F.col("n") > F.coalesce("attempts", F.lit(0)), F.lit(False))
+    rules = answers.filter(F.col("url").endswith("/robots.txt")).groupBy(hosts.host_of(F.col("url")).alias("__rh")).agg(F.max(F.when(_http_ok(), F.col("body").cast("string"))).alias("robots"))
+    ruled = fetches.filter("kind <> 'catalog_fetch'").withColumn("__h", hosts.host_of(F.col("url"))).join(rules, F.col("__h") == F.col("__rh"))
+    allowed = F.coalesce(links.robots_allow_udf(F.coalesce("robots", F.lit("")), F.col("url"), F.lit(cfg.agent)), F.lit(True))
+    out = [fetches.filter(F.col("kind") == "catalog_fetch").filter(own).select("id"), ruled.withColumn("__allowed", allowed).filter(own | ~F.col("__allowed")).select("id")]
+    probes = pending.filter("kind = 'host_probe'").select("id", "host")
+    there = probes
+    for path in (WELL_KNOWN, "/robots.txt"):
+        there = there.join(have, F.concat(F.lit("https://"), F.col("host"), F.lit(path)) == F.col("__u"), "left_semi")
+    out.append(there.select("id"))
+    if not cfg.force:
+        known = state["domains"].filter(store.is_fresh(F.col("last_probed_at"), F.lit(now), cfg.refresh_hours))
+        out.append(probes.join(known.select("host"), "host", "left_semi").select("id"))
+    registries = pending.filter("kind = 'registry_harvest'").select("id", "depth", F.col("url").alias("base_url"))
+    out.append(registries.filter(F.col("depth") > cfg.max_referral_depth).select("id"))
+    near = registries.filter(F.col("depth") <= cfg.max_referral_depth)
+    if registry_pages is not None and near.head(1):
+        out.append(near.join(whole_walks(near, registry_pages, cfg.page_limit), "base_url", "left_semi").select("id"))
+    return _union(out).distinct()
+
+
+def drain(state: State, answers: DataFrame, clock: Callable[[], datetime], cfg: Config, registry_pages: DataFrame | None = None, keep: Callable[[State], None] | None = None) -> State:
+    """Steps over the items that ``answers`` (``newest``, written) can close, until there is none; others stay pending. ``keep`` gets every new state."""
+    responses = answers.drop("n")
+    while cfg.items_a_step > 0:
+        now = clock()
+        ready = write_table(answerable(state, answers, now, cfg, registry_pages), "ready")
+        if not ready.head(1):
+            break
+        state = step(state, responses, now, cfg, registry_pages, ready)
+        if keep:
+            keep(state)
+    return state
 
 
 _DOCS = (
@@ -160,11 +221,14 @@ def _http_ok(alias: str = "") -> Column:
     return F.coalesce((F.col(f"{alias}status") >= 200) & (F.col(f"{alias}status") < 400), F.lit(False))
 
 
-def step(state: State, responses: DataFrame, now: datetime, cfg: Config, registry_pages: DataFrame | None = None) -> State:
-    """One super-step: lease, handle every kind of item, store results, enqueue what was found, close the items."""
+def step(state: State, responses: DataFrame, now: datetime, cfg: Config, registry_pages: DataFrame | None = None, only: DataFrame | None = None) -> State:
+    """One super-step: lease, handle every kind of item, store results, enqueue what was found, close the items.
+
+    ``only`` (id) restricts what is leased; a leased item without a response counts as unanswered.
+    """
     spark = responses.sparkSession
     at = F.lit(now)
-    leased, after = fr.dequeue(state["frontier"], cfg.items_a_step, at)
+    leased, after = fr.dequeue(state["frontier"], cfg.items_a_step, at, only=only)
     leased, after = write_table(leased, "leased"), write_table(after, "frontier")
     answers = responses.dropDuplicates(["url"])
     robots = answers.filter(_http_ok()).filter(F.col("url").endswith("/robots.txt")).select(hosts.host_of(F.col("url")).alias("__rh"), F.col("body").cast("string").alias("robots"))

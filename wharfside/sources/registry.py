@@ -30,3 +30,17 @@ def harvest(bases: DataFrame, pages: DataFrame, page_limit: int = 0) -> DataFram
     if found is None:
         return pages.limit(0).select(*keep, F.lit(0).alias("page_no"))
     return found
+
+
+def whole_walks(bases: DataFrame, pages: DataFrame, page_limit: int = 0) -> DataFrame:
+    """(base_url): the registries of ``bases`` whose walk by ``harvest`` needs no page that is absent from ``pages``."""
+    bases = bases.select("base_url").distinct()
+    at = bases.select("base_url", F.lit("").alias("token"), F.array(F.lit("")).alias("used"))
+    lacking, number = bases.limit(0), 0
+    while (page_limit <= 0 or number < page_limit) and at.head(1):
+        number += 1
+        next_pages = pages.select("base_url", F.col("page_token").alias("token"), "status", F.coalesce("next_token", F.lit("")).alias("next"), F.lit(True).alias("there"))
+        hit = write_table(at.join(next_pages, ["base_url", "token"], "left"), "walk")
+        lacking = lacking.unionByName(hit.filter("there IS NULL").select("base_url"))
+        at = hit.filter((F.col("status") == 200) & (F.col("next") != "") & ~F.array_contains("used", F.col("next"))).select("base_url", F.col("next").alias("token"), F.concat("used", F.array("next")).alias("used"))
+    return bases.join(lacking, "base_url", "left_anti")

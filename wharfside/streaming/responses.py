@@ -11,22 +11,43 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wharfside.plans import crawl
 from wharfside.schemas import RESPONSES
+from wharfside.scratch import write_table
 
 #: Levels of the event log, lowest first. Fixed values.
 LEVELS = ["debug", "info", "warn", "error"]
 
 
-def crawl_stream(spark: SparkSession, folder: str, checkpoint: str, state: crawl.State, cfg: crawl.Config, clock: Callable[[], datetime], keep: Callable[[crawl.State], None]) -> StreamingQuery:
-    """A crawl step for each batch of response files that arrives in ``folder``, over all files now there; ``keep`` gets every new state.
+def arrived(spark: SparkSession, folder: str) -> DataFrame:
+    """The responses of all files now in ``folder``; ``arrived`` orders them by the time of their file."""
+    rows = spark.read.schema(RESPONSES).parquet(folder)
+    return rows.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("arrived"))
 
-    A batch that is run again after a failure repeats a step on the state that
-    ``keep`` last got, whose items are leased and keyed, so nothing is stored twice.
+
+def crawl_stream(
+    spark: SparkSession, folder: str, checkpoint: str, state: crawl.State, cfg: crawl.Config, clock: Callable[[], datetime], keep: Callable[[crawl.State], None],
+    registry_pages: Callable[[], DataFrame] | None = None,
+) -> StreamingQuery:
+    """Crawl steps for each batch of response files that arrives in ``folder``, over all files now there, until no pending item has an answer.
+
+    Only items that can be answered are leased (``crawl.answerable``); the
+    others stay pending for a later batch, in whatever order responses come.
+    Of several responses of a URL the newest holds. ``registry_pages`` gives
+    the pages known at a batch; without it registries stay pending. ``keep``
+    gets every new state.
+
+    A batch that is run again after a failure, or a query started with the
+    state that ``keep`` last got, goes on from there: items closed in it
+    aren't leased again, so nothing is stored twice.
     """
     held = {"state": state}
 
+    def hold(new: crawl.State) -> None:
+        held["state"] = new
+        keep(new)
+
     def run(batch: DataFrame, _: int) -> None:
-        held["state"] = crawl.step(held["state"], batch, clock(), cfg)
-        keep(held["state"])
+        answers = write_table(crawl.newest(arrived(batch.sparkSession, folder)), "answers")
+        crawl.drain(held["state"], answers, clock, cfg, registry_pages() if registry_pages else None, hold)
 
     rows = spark.readStream.schema(RESPONSES).parquet(folder)
     return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
