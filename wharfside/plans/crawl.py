@@ -389,11 +389,30 @@ def _append(present: DataFrame, fresh: DataFrame, name: str) -> DataFrame:
     return write_table(present.unionByName(fresh.select(*columns)), name)
 
 
-def crawl(state: State, responses: DataFrame, now: datetime, cfg: Config, registry_pages: DataFrame | None = None, most_steps: int = 100) -> State:
-    """Steps until nothing is pending or in flight (L2)."""
-    for _ in range(most_steps):
+class Unfinished(RuntimeError):
+    """A crawl that ended before its frontier was empty; ``state`` is the last one and can be crawled on."""
+
+    def __init__(self, why: str, state: State, pending: int, in_flight: int) -> None:
+        super().__init__(f"{why}: {pending} items pending, {in_flight} in flight")
+        self.state, self.pending, self.in_flight = state, pending, in_flight
+
+
+def crawl(state: State, responses: DataFrame, now: datetime, cfg: Config, registry_pages: DataFrame | None = None, most_steps: int | None = None) -> State:
+    """Steps until nothing is pending or in flight (L2).
+
+    Leases that are over by ``now`` are taken back first. ``Unfinished`` is
+    raised when items are left after ``most_steps``, or when no step can take
+    them: others hold them, or ``items_a_step`` is 0.
+    """
+    state = state | {"frontier": write_table(fr.reclaim(state["frontier"], F.lit(now)), "frontier")}
+    steps = 0
+    while True:
         left = fr.counts(state["frontier"]).first()
         if left.pending + left.in_flight == 0:
             return state
+        if most_steps is not None and steps >= most_steps:
+            raise Unfinished(f"{steps} steps weren't enough", state, left.pending, left.in_flight)
+        if left.pending == 0 or cfg.items_a_step <= 0:
+            raise Unfinished("no item can be leased", state, left.pending, left.in_flight)
         state = step(state, responses, now, cfg, registry_pages)
-    return state
+        steps += 1
