@@ -12,7 +12,8 @@ Rates become whole repeats by a hash threshold for each mix and source that is
 narrowed until the tokens meet the target.
 
 Repeated texts are one text: the smallest doc_id stands for all of them, so
-the repeat limit holds for the text.
+the repeat limit holds for the text. A text of several known sources counts,
+in each mix, under the one of its smallest doc_id among those that the mix names.
 """
 
 from __future__ import annotations
@@ -122,12 +123,14 @@ def _classifier(documents: DataFrame, sources: list[str], most: int) -> Classifi
 
 
 def _members(documents: DataFrame, classifier: Classifier, tokenizer: str) -> DataFrame:
-    """(doc_id, source, n_tokens, posterior) of each distinct text with tokens.
+    """(doc_id, source, n_tokens, posterior, at) of each distinct text with tokens.
 
     Tokens, text key and, where the source is unknown, the posterior come from
     one narrow pass over the texts; only keys and numbers are shuffled. A text
     stands under its smallest doc_id and has the source of its smallest doc_id
-    that names one. Texts of sources that no target names are left out.
+    that names one of a target. ``at``, where it has several such sources, is its
+    smallest doc_id under each source, else null. Texts whose sources no
+    target names are left out.
     """
     sources = classifier.sources
     shared = documents.sparkSession.sparkContext.broadcast(classifier)
@@ -148,16 +151,38 @@ def _members(documents: DataFrame, classifier: Classifier, tokenizer: str) -> Da
         F.col("doc_id").cast("long").alias("doc_id"), F.nullif(F.trim("source"), F.lit("")).alias("source"), F.sha2(F.col("text"), 256).alias("text_key"), F.col("text").cast("string").alias("text")
     ).filter("doc_id IS NOT NULL AND length(text) > 0")
     read = write_table(lean.mapInArrow(run, "doc_id bigint, source string, text_key string, n_tokens bigint, posterior array<double>").filter("n_tokens > 0"), "sized")
-    named = F.min(F.when(F.col("source").isNotNull(), F.struct("doc_id", "source")))
-    texts = read.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), named["source"].alias("source"), F.min("n_tokens").alias("n_tokens"), F.min_by("posterior", "doc_id").alias("guess"))
+    firsts = F.array(*[F.min(F.when(F.col("source") == s, F.col("doc_id"))) for s in sources])  # as many as the targets have sources
+    texts = read.groupBy("text_key").agg(
+        F.min("doc_id").alias("doc_id"), F.max(F.col("source").isNotNull()).alias("known"), firsts.alias("at"), F.min("n_tokens").alias("n_tokens"),
+        F.min_by("posterior", F.when(F.col("posterior").isNotNull(), F.col("doc_id"))).alias("guess"),
+    )
+    named = F.filter("at", lambda x: x.isNotNull())
+    usable = texts.withColumn("named", F.size(named)).filter("NOT known OR named > 0")
+    names = F.array(*[F.lit(s) for s in sources])
+    known, guess = F.col("known"), F.col("guess")
+    likeliest = F.element_at(names, F.array_position(guess, F.array_max(guess)).cast("int"))
+    usable = usable.withColumn("source", F.when(known, F.element_at(names, F.array_position("at", F.array_min("at")).cast("int"))).otherwise(likeliest))
     onehot = F.array(*[F.when(F.col("source") == s, 1.0).otherwise(0.0) for s in sources])
-    guess = F.col("guess")
-    likeliest = F.element_at(F.array(*[F.lit(s) for s in sources]), F.array_position(guess, F.array_max(guess)).cast("int"))
-    known = F.col("source").isNotNull()
-    usable = texts.filter(~known | F.col("source").isin(sources))
-    return write_table(
-        usable.select("doc_id", F.when(known, F.col("source")).otherwise(likeliest).alias("source"), "n_tokens", F.when(known, onehot).otherwise(guess).alias("posterior")), "members"
-    )
+    return write_table(usable.select("doc_id", "source", "n_tokens", F.when(known, onehot).otherwise(guess).alias("posterior"), F.when(F.col("named") > 1, F.col("at")).alias("at")), "members")
+
+
+def _several(at: pa.Array) -> list[tuple[int, list[int | None]]]:
+    """(row, smallest doc_id under each source) of the texts of several sources."""
+    rows = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    return list(zip(rows.tolist(), at.take(pa.array(rows)).to_pylist(), strict=True)) if len(rows) else []
+
+
+def _in_mix(posterior: np.ndarray, several: list[tuple[int, list[int | None]]], mix: Mix) -> np.ndarray:
+    """The posterior in a mix: a text of several sources is wholly of its first one that the mix names, if any."""
+    if not several:
+        return posterior
+    out = posterior.copy()
+    for row, at in several:
+        own = [(d, i) for i, d in enumerate(at) if d is not None and mix.share[i] > 0]
+        if own:
+            out[row] = 0.0
+            out[row, min(own)[1]] = 1.0
+    return out
 
 
 def _rates(posterior: np.ndarray, limit: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
@@ -182,15 +207,16 @@ def _totals(members: DataFrame, mixes: list[Mix], sources: int) -> np.ndarray:
         sums = np.zeros((len(mixes), 2, sources))
         for b in batches:
             tokens = b.column(0).to_numpy().astype(np.float64)
-            p = b.column(1).flatten().to_numpy().reshape(-1, sources)
+            own, several = b.column(1).flatten().to_numpy().reshape(-1, sources), _several(b.column(2))
             for i, mix in enumerate(mixes):
+                p = _in_mix(own, several, mix)
                 limit = _limits(p, mix)
                 sums[i, 0] += (tokens * _rates(p, limit, mix.history)) @ p
                 sums[i, 1] += (tokens * limit) @ p
         n = sums.size
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(sums.ravel())], names=["cell", "tokens"])
 
-    rows = members.select("n_tokens", "posterior").mapInArrow(run, "cell bigint, tokens double").groupBy("cell").agg(F.sum("tokens").alias("tokens")).collect()
+    rows = members.select("n_tokens", "posterior", "at").mapInArrow(run, "cell bigint, tokens double").groupBy("cell").agg(F.sum("tokens").alias("tokens")).collect()
     out = np.zeros(len(mixes) * 2 * sources)
     for r in rows:
         out[r.cell] = r.tokens
@@ -221,25 +247,36 @@ def _fit(members: DataFrame, mixes: list[Mix], sources: int, total: int | None)
         now = _totals(members, mixes, sources)
 
 
-def _chosen(members: DataFrame, mixes: list[Mix], sources: int) -> DataFrame:
-    """(mix_name, source, doc_id, n_tokens, low, part, h): whole repeats and the fraction above them, for rates over 0."""
+def _chosen(members: DataFrame, mixes: list[Mix], sources: list[str]) -> DataFrame:
+    """(mix_name, source, doc_id, n_tokens, low, part, h): whole repeats and the fraction above them, for rates over 0.
+
+    A text that stands in a mix under another than its first source has its smallest doc_id under that source.
+    """
     shared = members.sparkSession.sparkContext.broadcast(mixes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = b.column(3).flatten().to_numpy().reshape(-1, sources)
+            own, several = b.column(3).flatten().to_numpy().reshape(-1, len(sources)), _several(b.column(4))
             for mix in shared.value:
+                p = _in_mix(own, several, mix)
+                ids, named = b.column(0), b.column(1)
+                moved = [(row, at, k) for row, at in several if (k := int(p[row].argmax())) != int(own[row].argmax())]
+                if moved:
+                    new_ids, new_named = ids.to_pylist(), named.to_pylist()
+                    for row, at, k in moved:
+                        new_ids[row], new_named[row] = at[k], sources[k]
+                    ids, named = pa.array(new_ids, pa.int64()), pa.array(new_named, pa.string())
                 limit = _limits(p, mix)
                 rate = _rates(p, limit, mix.history)
                 at = pa.array(np.flatnonzero(rate > 1e-9))
                 r = rate[rate > 1e-9]
                 low = np.floor(r + 1e-9)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([mix.name] * len(r), pa.string()), b.column(1).take(at), b.column(0).take(at), b.column(2).take(at), pa.array(low.astype(np.int32)), pa.array(np.maximum(0.0, r - low))],
+                    [pa.array([mix.name] * len(r), pa.string()), named.take(at), ids.take(at), b.column(2).take(at), pa.array(low.astype(np.int32)), pa.array(np.maximum(0.0, r - low))],
                     names=["mix_name", "source", "doc_id", "n_tokens", "low", "part"],
                 )
 
-    lean = members.select("doc_id", "source", "n_tokens", "posterior")
+    lean = members.select("doc_id", "source", "n_tokens", "posterior", "at")
     rows = lean.mapInArrow(run, "mix_name string, source string, doc_id bigint, n_tokens bigint, low int, part double")
     # A document is rounded up when its hash, stretched by its fraction, falls below the threshold of its mix and source.
     u = (F.pmod(F.xxhash64("mix_name", "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))) / F.greatest("part", F.lit(1e-12))
@@ -279,7 +316,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
     ``source`` is the document's own or, where it has none, the likeliest one.
     Without ``total`` a mix is as large as the repeat limits allow. Texts that
     are null, empty or of no tokens can't be used; repeated texts count as
-    one. Sources that a mix doesn't name are not used in it. Targets with a
+    one, under a source that the mix names if any of theirs is. Sources that a mix doesn't name are not used in it. Targets with a
     null name, source, share or limit, or a share or limit of 0, are left out;
     several rows of one mix and source add their shares and take the smaller
     limit. Empty tables give an empty result.
@@ -300,7 +337,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
         mixes.append(Mix(name, share / share.sum(), limit))
     members = _members(documents, _classifier(documents, sources, most), tokenizer)
     _fit(members, mixes, len(sources), total)
-    chosen = write_table(_chosen(members, mixes, len(sources)), "rates")
+    chosen = write_table(_chosen(members, mixes, sources), "rates")
     cuts = spark.createDataFrame([(m, s, float(t)) for (m, s), t in _thresholds(chosen, mixes, sources).items()], T.StructType.fromDDL("mix_name string, source string, cut double"))
     repeats = (F.col("low") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)).cast("int")
     # One row for each mix and source of the targets: a proven bound for the broadcast.
