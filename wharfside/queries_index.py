@@ -290,6 +290,24 @@ def first_source(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert_domains(domains, found, _now()).select("host", "discovery_source")
 
 
+_FOUND_HOSTS_SQL = """SELECT regexp_extract(source_url, '://([^/?#]+)', 1) AS host, 'catalog_ref' AS source, id AS seq FROM ard_catalogs
+UNION ALL SELECT host, coalesce(source, 'anchor'), doc_id + 1000000000 FROM documents
+UNION ALL SELECT regexp_replace(host, '^[^.]+[.]', ''), 'parent', doc_id + 2000000000 FROM documents"""
+
+
+@query(
+    f"""WITH f AS ({_FOUND_HOSTS_SQL}), n AS (SELECT host, arg_min(source, seq) AS source, min(seq) AS seq FROM f WHERE host IS NOT NULL AND host NOT IN (SELECT host FROM domains) GROUP BY host)
+SELECT id, host, first_seen_at, last_probed_at, discovery_source, ard_status, created_at, updated_at FROM domains
+UNION ALL SELECT (SELECT max(id) FROM domains) + row_number() OVER (ORDER BY seq, host), host, {NOW}, NULL, source, 'unprobed', {NOW}, {NOW} FROM n"""
+)
+def domains_merge(spark: SparkSession, d: str) -> DataFrame:
+    catalogs = table(spark, d, "ard_catalogs").select(hosts.host_of(F.col("source_url")).alias("host"), F.lit("catalog_ref").alias("discovery_source"), F.col("id").alias("seq"))
+    pages = table(spark, d, "documents").select("host", F.coalesce("source", F.lit("anchor")).alias("discovery_source"), (F.col("doc_id") + 1_000_000_000).alias("seq"))
+    # Every catalog and page host is a domain already; the names above the page hosts are new ones.
+    parents = table(spark, d, "documents").select(F.regexp_replace("host", "^[^.]+[.]", "").alias("host"), F.lit("parent").alias("discovery_source"), (F.col("doc_id") + 2_000_000_000).alias("seq"))
+    return store.upsert_domains(table(spark, d, "domains"), catalogs.unionByName(pages).unionByName(parents), _now())
+
+
 @query(f"""SELECT (SELECT count(*) FILTER (WHERE status = 'done' AND fetched_at >= TIMESTAMP '2026-01-15') FROM (SELECT f.*, d.fetched_at FROM ({_FRONTIER_SQL}) f JOIN documents d ON f.id = d.doc_id)) AS pages_fetched,
 (SELECT count(DISTINCT id) FROM domains WHERE last_probed_at >= TIMESTAMP '2026-01-15') AS hosts_probed,
 (SELECT count(*) FROM ard_catalogs WHERE fetched_at >= TIMESTAMP '2026-01-15') AS catalogs_found,
