@@ -1,8 +1,8 @@
 """Problem 1: records that differ only in formatting.
 
 Method: Merkle-style hashing from the leaves up. Leaves are normalised to
-their letters and digits without case, child digests are sorted at unordered
-nodes, records are grouped by root digest. The grouping compares the whole
+their letters and digits without case, child digests are sorted at objects,
+nested ones too, and keep their order at lists, records are grouped by root digest. The grouping compares the whole
 normalised structure besides the digest, so equal digests of different records
 stay apart.
 
@@ -40,44 +40,61 @@ def normal_text(text: str) -> str:
     return _ASIDE.sub("", unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold()))
 
 
-def normal_form(value: Any) -> str:
-    """Structure of a nested value with normalised leaves; '' for null, absent and empty.
+def _digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+
+
+def node(value: Any) -> tuple[str, bytes]:
+    """Structure of a nested value with normalised leaves, and its digest from the leaves up; '' and no digest for null, absent and empty.
 
-    Lists keep their order and a list of scalars is the text of its values;
-    objects are unordered and drop empty members.
+    Lists keep their order and a list of scalars is the text of its values, a leaf;
+    objects are unordered and drop empty members. Equal structures have equal digests.
     """
+    if isinstance(value, dict):
+        members = sorted((normal_text(k), *n) for k, v in value.items() if (n := node(v))[0])
+        if not members:
+            return "", b""
+        children = sorted(_digest(k.encode("utf-8", "surrogatepass"), b"\x1f", d) for k, _, d in members)
+        return "{" + ",".join(f"{k}:{f}" for k, f, _ in members) + "}", _digest(b"{", *children)
+    if isinstance(value, list) and any(isinstance(v, (dict, list)) for v in value):
+        parts = [n for v in value if (n := node(v))[0]]
+        return ("[" + ",".join(f for f, _ in parts) + "]", _digest(b"[", *[d for _, d in parts])) if parts else ("", b"")
+    form = _leaf(value)
+    return form, _digest(b"=", form.encode("utf-8", "surrogatepass")) if form else b""
+
+
+def _leaf(value: Any) -> str:
     if value is None or value is MISSING:
         return ""
     if isinstance(value, str):
         return normal_text(value)
     if isinstance(value, bool):
         return "true" if value else "false"
-    if isinstance(value, dict):
-        members = sorted((normal_text(k), f) for k, v in value.items() if (f := normal_form(v)))
-        return "{" + ",".join(f"{k}:{f}" for k, f in members) + "}" if members else ""
     if isinstance(value, list):
-        parts = [normal_form(v) for v in value]
-        if any(isinstance(v, (dict, list)) for v in value):
-            return "[" + ",".join(p for p in parts if p) + "]" if any(parts) else ""
-        return "".join(parts)
+        return "".join(_leaf(v) for v in value)
     return normal_text(str(value))
 
 
-def merkle(children: dict[str, str]) -> bytes:
-    """Root digest of an unordered node: the sorted digests of its members, each over name and normal form."""
-    root = hashlib.blake2b(digest_size=16)
-    for child in sorted(hashlib.blake2b(f"{k}\x1f{f}".encode("utf-8", "surrogatepass"), digest_size=16).digest() for k, f in children.items() if f):
-        root.update(child)
-    return root.digest()
+def normal_form(value: Any) -> str:
+    """The structure of ``node``."""
+    return node(value)[0]
+
+
+def merkle(children: dict[str, str], nested: dict[str, bytes] | None = None) -> bytes:
+    """Root digest of an unordered node: the sorted digests of its members, each over name and normal form, or the digest in ``nested``."""
+    below = nested or {}
+    own = [_digest(k.encode("utf-8", "surrogatepass"), b"\x1f", below.get(k) or f.encode("utf-8", "surrogatepass")) for k, f in children.items() if f]
+    return _digest(*sorted(own))
 
 
 def _written(children: dict[str, str]) -> str:
     return "\x1e".join(f"{k}\x1f{f}" for k, f in sorted(children.items()) if f).encode("utf-8", "replace").decode("utf-8")
 
 
-def _rows(name: str, ids: list[int], nodes: list[dict[str, str]]) -> pa.RecordBatch:
+def _rows(name: str, ids: list[int], nodes: list[dict[str, str]], nested: list[dict[str, bytes]] | None = None) -> pa.RecordBatch:
+    below = nested or [{}] * len(nodes)
     return pa.RecordBatch.from_arrays(
-        [pa.array([name] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array([merkle({**n, "": name}) for n in nodes], pa.binary()), pa.array([_written(n) for n in nodes], pa.string())],
+        [pa.array([name] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array([merkle({**n, "": name}, d) for n, d in zip(nodes, below, strict=True)], pa.binary()), pa.array([_written(n) for n in nodes], pa.string())],
         names=["table_name", "record_id", "digest", "form"],
     )
 
@@ -87,18 +104,24 @@ def _of_lines(name: str, fields: list[str]) -> Callable[[Iterator[pa.RecordBatch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, nodes = [], []
+            ids, nodes, nested = [], [], []
             for i, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 value = read_json(line, numbers_as_text=True)
                 if not isinstance(value, dict):
                     continue
-                node: dict[str, str] = {}
+                forms: dict[str, str] = {}
+                digests: dict[str, bytes] = {}
                 for k, v in value.items():
-                    if (field := wanted.get(normal_text(k))) and (form := normal_form(v)):
-                        node[field] = form
+                    if not (field := wanted.get(normal_text(k))):
+                        continue
+                    form, digest = (normal_text(v), b"") if isinstance(v, str) else node(v)
+                    if form:
+                        forms[field] = form
+                        digests[field] = digest if form[0] in "{[" else b""
                 ids.append(i)
-                nodes.append(node)
-            yield _rows(name, ids, nodes)
+                nodes.append(forms)
+                nested.append(digests)
+            yield _rows(name, ids, nodes, nested)
 
     return run
 
