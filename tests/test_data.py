@@ -5,12 +5,14 @@ import random
 from collections import defaultdict
 from datetime import UTC, datetime
 
+import pyarrow as pa
 import pytest
 
 from wharfside.functions.instants import utc_micros
-from wharfside.functions.jsontext import canonical, read_json
+from wharfside.functions.jsontext import canonical, json_text, read_json
 from wharfside.functions.packed import BAD_BRACKET, BAD_QUOTE, split_values
-from wharfside.operators import changes, instants, nested, packed
+from wharfside.operators import changes, instants, nested, packed, snapshots
+from wharfside.scratch import finished_tables
 from wharfside.skew import join_unique, rank_in_group
 from wharfside.tables import EXPORT_FIELDS
 
@@ -52,6 +54,10 @@ def _us(*parts):
         ("", "Etc/UTC", "dmy", None),
         (None, None, None, None),
         ("9" * 5000, "Etc/UTC", "dmy", None),
+        ("2015-07-01 12:00", "Europe/Berlin", "", _us(2015, 7, 1, 10)),
+        ("2035-01-01T00:00:00Z", "", "", _us(2035, 1, 1)),
+        ("2012-07-01 12:00 MSK", "Europe/Moscow", "", _us(2012, 7, 1, 8)),
+        ("1420113600", "", "", _us(2015, 1, 1, 12)),
     ],
 )
 def test_utc_micros(raw, zone, order, want):
@@ -70,7 +76,15 @@ def test_entry_instants_and_incremental_dictionary(spark, tmp_path):
     for _ in range(2):
         got = instants.entry_instants(entries, catalogs, locales, path)
         assert sorted(map(tuple, got.collect())) == want
-    assert spark.read.parquet(path).count() == 4
+    assert spark.read.parquet(f"{path}/*").count() == 4
+    assert len(finished_tables(spark, path)) == 1  # the second run had nothing to parse
+    later = entries.unionByName(spark.createDataFrame([(8, 1, "2030-03-01 12:00", "x")], entries.schema))
+    assert instants.entry_instants(later, catalogs, locales, path).count() == 5
+    assert instants.entry_instants(later, catalogs, locales, path, years=(2022, 2027)).count() == 4
+    new = sorted(spark.read.parquet(x).count() for x in finished_tables(spark, path))
+    assert new == [1, 4]  # only the new triple was parsed
+    spark.read.parquet(f"{path}/*").write.parquet(f"{path}/beside")  # another run that parsed the same
+    assert instants.entry_instants(later, catalogs, locales, path).count() == 5
     assert instants.entry_instants(entries.limit(0), catalogs, locales).count() == 0
 
 
@@ -108,6 +122,15 @@ def test_split_errors_and_long_texts():
     assert [v for v, _ in split_values(",".join(many))] == many
 
 
+def test_quoted_however_often():
+    text = json.dumps(["a", "b, c"])
+    for _ in range(12):
+        text = json.dumps(text)
+        assert [v for v, _ in split_values(text)] == ["a", "b, c"]
+    assert [v for v, _ in split_values('["a",' + "[" * 3_000 + '"b"' + "]" * 3_000 + "]")] == ["a", "b"]
+    assert len(split_values(", ".join("“open" + str(i) for i in range(100_000)))) == 100_000  # each quote is looked for once
+
+
 def test_split_round_trip():
     """Values written with quotes in any notation come back."""
     rng = random.Random(5)
@@ -177,10 +200,10 @@ def test_export_changes(spark):
                     held[snap][f"h{k % 3}", f"u{k}"] = version or ""
     schema = "row_id bigint, snapshot_no int, delivered_at timestamp, owner string, " + ", ".join(f"{f} string" for f in EXPORT_FIELDS)
     frame = spark.createDataFrame([(i, s, at, "clash", *[v.get(f) for f in EXPORT_FIELDS]) for i, s, at, v in rows], schema)
-    got = changes.export_changes(frame).collect()
+    got = snapshots.export_changes(frame).collect()
     assert {(r.snapshot_id, (r.owner, r.urn), r.change_kind) for r in got} == _brute([(s, held[s]) for s in range(1, 6)])
     assert {r.changed_fields for r in got if r.change_kind == "changed"} == {1 << [f for f in EXPORT_FIELDS if f not in ("host", "urn")].index("version")}
-    assert changes.export_changes(frame.limit(0)).count() == 0
+    assert snapshots.export_changes(frame.limit(0)).count() == 0
 
 
 def test_catalog_changes_with_blocks(spark):
@@ -218,5 +241,99 @@ def test_skew_helpers(spark, monkeypatch):
 
 def test_read_json():
     assert read_json('{"a":1.0}') == {"a": 1.0} and canonical({"b": 1, "a": 1.0}) == '{"a":1,"b":1}'
-    for bad in (None, "", "{", "NaN", '{"a":Infinity}', "[" * 100_000):
+    for deep in (500, 5_000, 50_000):
+        for text in ("[" * deep + "1" + "]" * deep, '{"a":' * deep + "null" + "}" * deep):
+            assert canonical(read_json(text)) == text == json_text(read_json(text))
+    for bad in (None, "", "{", "NaN", '{"a":Infinity}', "[" * 100_000, "[" * 5_000 + "1" + "]" * 4_999, "[" * 5_000 + "]" * 5_001):
         assert not isinstance(read_json(bad), (dict, list))
+
+
+def test_documents_of_any_depth(spark):
+    rows = []
+    for i, deep in enumerate((500, 5_000, 50_000)):
+        rows.append((i, '{"entries":[{"identifier":"a","type":"t","metadata":' + '{"m":' * deep + "1" + "}" * deep + '},{"identifier":"b","url":' + "[" * deep + "]" * deep + "}]}"))
+    nest = '{"entries":[{"identifier":"x","type":"application/ai-catalog","data":'
+    rows.append((9, nest * 300 + '{"entries":[{"identifier":"last"}]}' + "}]}" * 300))
+    rows += [(10, None), (11, "{"), (12, "[]"), (13, '{"entries":[' + "[" * 50_000 + "]}")]
+    frame = spark.createDataFrame(rows, "id bigint, raw_json string")
+    found = nested.flatten_catalogs(frame)
+    assert {(r.catalog_id, r["count"]) for r in nested.found(found).groupBy("catalog_id").count().collect()} == {(0, 2), (1, 2), (2, 2), (9, 301)}
+    assert {r.url for r in nested.entries(found).filter("identifier = 'b'").collect()} == {"[" * d + "]" * d for d in (500, 5_000, 50_000)}
+    assert {tuple(r) for r in nested.unreadable(frame).collect()} == {(10, "null"), (11, "not JSON"), (12, "not an object"), (13, "not JSON")}
+    twice = frame.filter("id < 3").unionByName(frame.filter("id < 3").selectExpr("id + 20 AS id", "replace(raw_json, '\"b\"', '\"c\"') AS raw_json")).selectExpr("id", "'u' || id % 20 AS source_url", "timestamp_seconds(id) AS fetched_at", "raw_json")
+    assert {(r.urn, r.change_kind) for r in changes.catalog_changes(twice).collect()} == {("b", "removed"), ("c", "added")}
+
+
+def test_columns_and_decoding_agree():
+    """Documents of every variety give the same rows whether they are read into columns or one by one."""
+    rng = random.Random(11)
+
+    def attestations():
+        one = {"type": "T", "uri": "u", "mediaType": rng.choice(["m", None])}
+        return rng.choice([[one, one], [one], [], None, one, json.dumps([one]), [one, None], [one, 5]] if rng.random() < 0.4 else [[one, one], [one], []])
+
+    def catalog(depth):
+        entries = []
+        for k in range(rng.randint(0, 3)):
+            e = {"identifier": f"i{k}", "type": rng.choice(["application/ai-catalog+json", " Application/AI-Catalog ; v=1", "text/html", None]), "metadata": {"attestations": 3, "entries": "x"}}
+            if rng.random() < 0.5:
+                e["trustManifest"] = {"attestations": attestations()}
+            if depth and rng.random() < 0.7:
+                e["data"] = catalog(depth - 1)
+            if rng.random() < 0.05:
+                e["data"] = rng.choice([json.dumps(catalog(0)), 7, [1], "x"])
+            if rng.random() < 0.05:
+                e["description"] = rng.choice([1, None, {"a": 1}, "LONE"])
+            entries.append(rng.choice([e, e, e, e, e, None, "text", json.dumps(e)]) if rng.random() < 0.3 else e)
+        out = {"entries": entries if rng.random() < 0.95 else rng.choice([None, {"identifier": "one"}, "x"])}
+        if rng.random() < 0.4:
+            out["host"] = {"trustManifest": {"attestations": attestations()}}
+        if rng.random() < 0.05:
+            out["Entries"] = [{"identifier": "cased"}]
+        return out
+
+    texts = []
+    for _ in range(400):
+        text = json.dumps(catalog(rng.randint(0, 7)), indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5).replace("LONE", "\\ud800")
+        if rng.random() < 0.05:
+            text = rng.choice([text[:-1], text + text, text + "x", "[" + text + "]", "\ufeff" + text, text.replace("entries", "\\u0065ntries"), '{"entries":[{"identifier":"a"}],"entries":[]}', '{"entries":[{"identifier":"a","identifier":"b"}]}'])
+        texts.append(text)
+    ids, docs = pa.array(range(len(texts)), pa.int64()), pa.array([*texts[:-2], None, ""], pa.string())
+    rows = lambda batches: sorted(repr(r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for levels in (0, 2, 4):
+        assert rows(nested._flatten(ids, docs, True, levels)) == rows(nested._flatten_decoded(ids, docs, True))
+
+
+def test_snapshots_are_kept(spark, tmp_path):
+    """A second run reads what is kept; a new snapshot is merged with the last only; a changed one is kept anew."""
+    schema = "row_id bigint, snapshot_no int, delivered_at timestamp, " + ", ".join(f"{f} string" for f in EXPORT_FIELDS)
+
+    def rows(snapshot, versions, late=0):
+        blank = dict.fromkeys(EXPORT_FIELDS)
+        return [(snapshot * 1000 + late + i, snapshot, datetime(2026, 1, snapshot, late % 24), *(blank | {"host": "h", "urn": f"u{i}", "version": v}).values()) for i, v in enumerate(versions)]
+
+    path = f"file://{tmp_path}/store"
+    one, two, three = rows(1, "aab"), rows(2, "aac"), rows(3, "bac")
+    store = snapshots.open_store(spark, path)
+    assert snapshots.keep(store, spark.createDataFrame(one + two, schema)) == [1, 2]
+    store = snapshots.open_store(spark, path)
+    assert snapshots.keep(store, spark.createDataFrame(one + two, schema)) == []
+    assert snapshots.keep(store, spark.createDataFrame(three, schema)) == [3]
+    newest = snapshots.compare(store, since=3)
+    assert "Exchange" not in newest._jdf.queryExecution().executedPlan().toString()
+    assert {x.split("seq=")[1][0] for x in newest.inputFiles()} == {"2", "3"}
+    assert {(r.snapshot_id, r.urn, r.change_kind) for r in newest.collect()} == {(3, "u0", "changed")}
+    spark.sql(f"DROP TABLE {store.name}")  # as in a new session
+    store = snapshots.open_store(spark, path)
+    assert {(r.snapshot_id, r.urn) for r in snapshots.compare(store).collect()} == {(2, "u2"), (3, "u0")}
+    assert snapshots.keep(store, spark.createDataFrame(one + rows(1, "z", late=5) + two + three, schema)) == [1]
+    assert {(r.snapshot_id, r.urn) for r in snapshots.compare(store).collect()} == {(2, "u0"), (2, "u2"), (3, "u0")}
+
+
+def test_hot_keys_are_combined_first(spark, monkeypatch):
+    monkeypatch.setattr(snapshots, "HOT_LEAST", 10)
+    schema = "row_id bigint, snapshot_no int, delivered_at timestamp, " + ", ".join(f"{f} string" for f in EXPORT_FIELDS)
+    blank = dict.fromkeys(EXPORT_FIELDS)
+    rows = [(i, 1 + i % 2, datetime(2026, 1, 1, 0, i % 60), *(blank | {"host": "h", "urn": "hot" if i < 300 else f"u{i // 2}", "version": str(i % 60)}).values()) for i in range(400)]
+    got = snapshots.export_changes(spark.createDataFrame(rows, schema)).collect()
+    assert {(r.urn, r.change_kind) for r in got} == {("hot", "changed")} | {(f"u{i}", "changed") for i in range(150, 200)} and len(got) == 51

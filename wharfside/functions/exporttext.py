@@ -32,7 +32,7 @@ def csv_field(c: Column) -> Column:
     """A CSV field: quoted when it holds a comma, quote or line end, starts with white space, or is ``\\.``; null as ''."""
     text = F.coalesce(c, F.lit(""))
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(text.rlike(r'[,"\r\n]|^[\s\u0085\u00a0]') | (text == "\\."), quoted).otherwise(text)
+    return F.when(text.rlike(r'[,"\r\n]|^[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]') | (text == "\\."), quoted).otherwise(text)
 
 
 def csv_line(columns: list[str]) -> Column:

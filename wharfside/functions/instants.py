@@ -8,8 +8,10 @@ from datetime import UTC, date, datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
 
-#: Instants outside these years are none. Fixed values.
-FIRST_YEAR, LAST_YEAR = 2022, 2027
+#: Raised whenever ``utc_micros`` reads a text in another way than before, so that kept dictionaries are begun anew.
+RULES = 2
+#: Years between which a bare number must lie; they tell its unit. Written dates may lie in any year. Fixed values.
+FIRST_YEAR, LAST_YEAR = 1980, 2100
 
 #: Zone abbreviations with one meaning wherever they are written, in minutes east of UTC; used where the host's own zone doesn't know the name. Fixed values.
 ABBREVIATIONS = {
@@ -56,20 +58,19 @@ def zone_of(name: str) -> ZoneInfo | None:
 
 
 @lru_cache(4096)
-def own_abbreviations(name: str) -> dict[str, int]:
-    """The abbreviations that a zone uses in the years of interest, in minutes east of UTC."""
+def own_abbreviations(name: str, year: int) -> dict[str, int]:
+    """The abbreviations that a zone uses in a year, in minutes east of UTC."""
     out: dict[str, int] = {}
     if zone := zone_of(name):
-        for days in range(0, (LAST_YEAR - FIRST_YEAR + 1) * 365, 7):
-            at = (datetime(FIRST_YEAR, 1, 1, tzinfo=UTC) + timedelta(days=days)).astimezone(zone)
+        for days in range(0, 365, 7):
+            at = datetime(year, 1, 1, 12, tzinfo=zone) + timedelta(days=days)
             if (label := at.tzname() or "").isalpha():
                 out[label.upper()] = int((at.utcoffset() or timedelta()).total_seconds()) // 60
     return out
 
 
-def _micros(at: datetime, fraction: int) -> int | None:
-    us = (at - _EPOCH) // timedelta(microseconds=1) + fraction
-    return us if FIRST_YEAR <= at.year <= LAST_YEAR else None
+def _micros(at: datetime, fraction: int) -> int:
+    return (at - _EPOCH) // timedelta(microseconds=1) + fraction
 
 
 def _of_local(wall: datetime, zone: ZoneInfo) -> datetime | None:
@@ -117,7 +118,7 @@ def _day_of(g: dict[str, str | None], order: str) -> date | None:
     return date(int(g["year"] or 0), int(g["month"] or 0), int(g["day"] or 0))
 
 
-def _offset(text: str, tz_name: str) -> int | None:
+def _offset(text: str, tz_name: str, year: int) -> int | None:
     """Minutes east of UTC of a written zone; None when it has no meaning."""
     if m := re.fullmatch(r"(?:utc|gmt)?([+-])(\d{1,2}):?(\d{2})?", text):
         hours, minutes = int(m[2]), int(m[3] or 0)
@@ -127,7 +128,7 @@ def _offset(text: str, tz_name: str) -> int | None:
     label = text.upper()
     if label in ("Z", "UTC", "GMT"):
         return 0
-    return own_abbreviations(tz_name).get(label, ABBREVIATIONS.get(label))
+    return own_abbreviations(tz_name, year).get(label, ABBREVIATIONS.get(label))
 
 
 def utc_micros(raw: str | None, tz_name: str | None, order: str | None) -> int | None:
@@ -135,8 +136,9 @@ def utc_micros(raw: str | None, tz_name: str | None, order: str | None) -> int |
 
     ``tz_name`` and ``order`` ('dmy', 'mdy', 'ymd') settle what the text
     leaves open. Digits finer than a microsecond are cut off; values without
-    a time of day, impossible dates and times, local times in a gap or fold
-    of the zone's clocks, and instants outside the fixed years give None.
+    a time of day, impossible dates and times, and local times in a gap or fold
+    of the zone's clocks give None. A written date may lie in any year; a bare
+    number is read in the unit that puts it into FIRST_YEAR to LAST_YEAR.
     """
     if not raw:
         return None
@@ -171,7 +173,7 @@ def utc_micros(raw: str | None, tz_name: str | None, order: str | None) -> int |
     fraction = int(((g["fraction"] or "") + "000000")[:6])
     try:
         if g["zone"]:
-            minutes = _offset(g["zone"], tz_name or "")
+            minutes = _offset(g["zone"], tz_name or "", wall.year)
             if minutes is None:
                 return None
             return _micros(wall.replace(tzinfo=timezone(timedelta(minutes=minutes))).astimezone(UTC), fraction)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 from urllib.robotparser import RobotFileParser
@@ -103,11 +104,15 @@ def agentmap_urls(raw: str | None, robots_url: str) -> list[str]:
 
 def robots_allow(raw: str | None, url: str, agent: str) -> bool:
     """Whether a robots.txt lets ``agent`` fetch ``url``; without a robots.txt it does."""
-    if not raw:
-        return True
+    return not raw or _rules(raw).can_fetch(agent, url)
+
+
+@lru_cache(256)
+def _rules(raw: str) -> RobotFileParser:
+    """A robots.txt parsed once for the URLs of its host that are asked in a row."""
     rules = RobotFileParser()
     rules.parse(raw.splitlines())
-    return rules.can_fetch(agent, url)
+    return rules
 
 
 @F.pandas_udf(T.StringType())

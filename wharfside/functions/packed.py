@@ -66,19 +66,25 @@ class _Parser:
     def __init__(self, text: str):
         self.text, self.at = text, 0
         self.items: Items = []
+        #: Quotes that never close from here on: a quote without partner is looked for once, not from every later place.
+        self.open_ended: set[str] = set()
 
     def space(self) -> None:
         self.at = _SPACE.match(self.text, self.at).end()  # type: ignore[union-attr]
 
     def quoted(self, after: str) -> bool:
         """A quoted value that a sign of ``after`` or the end follows; else nothing is consumed."""
-        form = _QUOTED.get(self.text[self.at : self.at + 1])
-        if not form or not (m := form.match(self.text, self.at)):
+        sign = self.text[self.at : self.at + 1]
+        form = _QUOTED.get(sign)
+        if not form or sign in self.open_ended:
+            return False
+        if not (m := form.match(self.text, self.at)):
+            self.open_ended.add(sign)
             return False
         end = _SPACE.match(self.text, m.end()).end()  # type: ignore[union-attr]
         if end < len(self.text) and self.text[end] not in after:
             return False
-        self.items.append((_unescape_quoted(m[1], self.text[self.at]), 0))
+        self.items.append((_unescape_quoted(m[1], sign), 0))
         self.at = end
         return True
 
@@ -129,23 +135,37 @@ class _Parser:
             self.at += 1
 
 
-def _leaves(value: object) -> list[str]:
-    if isinstance(value, list):
-        return [x for v in value for x in _leaves(v)]
-    if isinstance(value, dict):
-        return [scalar_text(value) or ""]
-    return [scalar_text(value) or ""]
+def _leaves(value: list) -> list[str]:
+    """The scalars and objects of nested lists, in order."""
+    out: list[str] = []
+    todo = [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo += reversed(x)
+        else:
+            out.append(scalar_text(x) or "")
+    return out
+
+
+def _unquoted(text: str) -> str:
+    """The list inside a text that was quoted as a whole as a JSON string, however often; any other text as it is."""
+    inner: object = text
+    while isinstance(inner, str):
+        bare = inner.strip()
+        if bare[:1] in ("[", "{") and bare[-1:] in ("]", "}"):
+            return bare
+        if bare[:1] != '"':
+            break
+        inner = read_json(bare)
+    return text
 
 
-def _field(text: str, depth: int = 0) -> Items:
-    text = text.strip()
+def _field(text: str) -> Items:
+    text = _unquoted(text.strip())
     head = text[:1]
-    if head and head in '["{':
-        value = read_json(text)
-        if isinstance(value, list):
-            return [(v, 0) for v in _leaves(value)]
-        if isinstance(value, str) and depth < 8 and value.strip()[:1] in ("[", "{") and value.strip()[-1:] in ("]", "}"):
-            return _field(value, depth + 1)
+    if head == "[" and isinstance(value := read_json(text), list):
+        return [(v, 0) for v in _leaves(value)]
     if head == "[" and text.endswith("]"):
         if (items := _Parser(text).enclosed("]")) is not None:
             return items

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator
 from json.decoder import scanstring
 from typing import Any
 
-_DECODER = json.JSONDecoder()
-_SPACE = re.compile(r"[ \t\n\r]*")
-
-
-def _skip(text: str, at: int) -> int:
-    return _SPACE.match(text, at).end()  # type: ignore[union-attr]
+from wharfside.functions.jsontext import decode_at
+from wharfside.functions.jsontext import skip_space as _skip
 
 
 def object_members(text: str, at: int = 0) -> Iterator[tuple[str, Any, str]]:
@@ -25,7 +19,7 @@ def object_members(text: str, at: int = 0) -> Iterator[tuple[str, Any, str]]:
     while text[at] != "}":
         name, at = scanstring(text, at + 1, True)
         at = _skip(text, _skip(text, at) + 1)
-        value, end = _DECODER.raw_decode(text, at)
+        value, end = decode_at(text, at)
         yield name, value, text[at:end]
         at = _skip(text, end)
         if text[at] == ",":
@@ -39,7 +33,7 @@ def list_items(text: str) -> Iterator[tuple[Any, str]]:
         return
     at = _skip(text, at + 1)
     while text[at] != "]":
-        value, end = _DECODER.raw_decode(text, at)
+        value, end = decode_at(text, at)
         yield value, text[at:end]
         at = _skip(text, end)
         if text[at] == ",":

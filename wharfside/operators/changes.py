@@ -1,4 +1,4 @@
-"""Problem 5: what changed between consecutive full snapshots.
+"""Problem 5 where every owner has snapshots of its own: successive documents of one address. See ``snapshots`` for tables.
 
 Method: the records of all snapshots are range-partitioned and sorted by key,
 so that every range holds the same key interval of each snapshot, and each
@@ -16,13 +16,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wharfside.functions.jsontext import MISSING, as_list, canonical, digest, member, read_json, scalar_text, unwrap
 from wharfside.scratch import write_table
 from wharfside.skew import rank_in_group
-from wharfside.tables import EXPORT_FIELDS
 
 #: Consecutive snapshots of one key that stay in one range.
 BLOCK = 4096
@@ -118,46 +117,6 @@ def merge_snapshots(records: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranges.mapInArrow(_merger(block), SCHEMA)
 
 
-def _empty_as_null(c: str) -> Column:
-    return F.nullif(F.col(c).cast("string"), F.lit(""))
-
-
-def export_records(rows: DataFrame, fields: bool = True) -> DataFrame:
-    """The record that holds for each (snapshot, host, urn) of the export: the latest delivery, of equal ones the highest row_id.
-
-    Rows are reduced to fingerprints and combined before the shuffle, so repeated rows of one key cost nothing.
-    """
-    others = [c for c in EXPORT_FIELDS if c not in ("host", "urn")]
-    whole = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("v"), _empty_as_null(c)), F.lit("")) for c in others]))
-    parts = F.array(*[F.xxhash64(_empty_as_null(c)) for c in others]) if fields else F.lit(None).cast("array<bigint>")
-    newest = F.max(F.struct("delivered_at", "row_id", F.unhex(whole).alias("whole"), parts.alias("parts"))).alias("v")
-    return (
-        rows.filter("snapshot_no IS NOT NULL")
-        .groupBy("snapshot_no", F.col("host").alias("owner"), "urn")
-        .agg(newest)
-        .select(F.col("snapshot_no").cast("long").alias("seq"), "owner", "urn", "v.whole", "v.parts")
-    )
-
-
-def export_changes(rows: DataFrame, fields: bool = True) -> DataFrame:
-    """Changes between consecutive export snapshots; keys are (host, urn), exact, null being a key of its own.
-
-    A row without snapshot number is in no snapshot. Null and '' are equal in
-    all other fields. A snapshot number without any row between the first and
-    the last is an empty snapshot. An empty table gives no changes. With
-    ``fields`` bit i of changed_fields tells that the i-th of the other 11
-    export fields differs.
-    """
-    records = write_table(export_records(rows, fields), "snapshots")
-    low, high = records.agg(F.min("seq"), F.max("seq")).first()
-    low, high = low or 1, high or 1
-    records = records.select(
-        "owner", "urn", (F.col("seq") - low + 1).alias("seq"), F.col("seq").alias("snapshot_id"),
-        F.when(F.col("seq") < high, F.col("seq") + 1).alias("next_id"), "whole", "parts",
-    )
-    return merge_snapshots(records)
-
-
 def _catalog_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, raw_json) to (id, urn, whole); a valid document gives one row with null whole besides those of its entries."""
     for batch in batches:

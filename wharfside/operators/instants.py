@@ -9,15 +9,16 @@ holds a third of all rows is neither parsed nor shuffled more than once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from wharfside.functions.instants import utc_micros
-from wharfside.scratch import write_table
+from wharfside.scratch import finished_tables, write_table
 from wharfside.skew import join_unique
 
 KEY = ["raw", "tz_name", "date_order"]
@@ -40,19 +41,32 @@ def instant_dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
 
     With ``path`` the dictionary kept there is extended by the triples it
     lacks and only those are parsed; without, a new one is written into the
-    shared folder.
+    shared folder. A kept dictionary is a folder of versions, each a table
+    that is read only once it is complete; a run without new triples adds
+    none. Runs side by side may both add a triple: its instant is the same in
+    both, and it counts once.
     """
     if path is None:
         return write_table(parse_dictionary(values), "instants")
     spark = values.sparkSession
-    try:
-        known = spark.read.parquet(path)
-        values = values.join(known.select(*KEY), KEY, "left_anti")
-    except AnalysisException:
-        pass
-    fresh = write_table(parse_dictionary(values), "instants")
-    fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    versions = finished_tables(spark, path)
+    if versions:
+        values = values.join(_versions(spark, versions).select(*KEY), KEY, "left_anti")
+    fresh = values
+    if not versions or fresh.head(1):
+        added = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+        parse_dictionary(fresh).write.parquet(added)
+        versions.append(added)
+    return _versions(spark, versions)
+
+
+def _versions(spark: SparkSession, paths: list[str]) -> DataFrame:
+    read = spark.read.schema("raw string, tz_name string, date_order string, utc_us bigint").parquet(*paths)
+    return read if len(paths) == 1 else read.groupBy(*KEY).agg(F.max("utc_us").alias("utc_us"))
+
+
+def _first_us(year: int) -> int:
+    return int(datetime(year, 1, 1, tzinfo=UTC).timestamp()) * 10**6
 
 
 def host_suffix(url_col: str) -> F.Column:
@@ -77,22 +91,26 @@ def located_values(rows: DataFrame, catalogs: DataFrame, locales: DataFrame) ->
     return join_unique(rows, write_table(dim, "locales"), ["catalog_id"], "n").select("row_id", *KEY)
 
 
-def normalise_instants(rows: DataFrame, catalogs: DataFrame, locales: DataFrame, path: str | None = None) -> DataFrame:
+def normalise_instants(rows: DataFrame, catalogs: DataFrame, locales: DataFrame, path: str | None = None, years: tuple[int, int] | None = None) -> DataFrame:
     """(row_id, utc_us) of the rows (row_id, catalog_id, raw) whose text names exactly one instant.
 
     Repeated rows come out as often as they come in. Null, empty, blank and
     unreadable texts, of any length, give no row; empty tables give an empty
-    result; other columns of the inputs are ignored. See ``utc_micros`` for
-    the rules.
+    result; other columns of the inputs are ignored. ``years`` (first, last)
+    keeps only instants within these years, UTC; without it all are kept. See
+    ``utc_micros`` for the rules.
     """
     located = write_table(located_values(rows, catalogs, locales), "located")
     counted = write_table(located.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")), "triples")
     known = instant_dictionary(counted.select(*KEY), path)
-    dim = write_table(counted.join(known.filter("utc_us IS NOT NULL"), KEY), "dated")
+    dated = known.filter("utc_us IS NOT NULL")
+    if years:
+        dated = dated.filter(F.col("utc_us").between(_first_us(years[0]), _first_us(years[1] + 1) - 1))
+    dim = write_table(counted.join(dated, KEY), "dated")
     return join_unique(located, dim, KEY, "n").select("row_id", "utc_us")
 
 
-def entry_instants(entries: DataFrame, catalogs: DataFrame, locales: DataFrame, path: str | None = None) -> DataFrame:
+def entry_instants(entries: DataFrame, catalogs: DataFrame, locales: DataFrame, path: str | None = None, years: tuple[int, int] | None = None) -> DataFrame:
     """(entry_id, utc_us) for catalog entries with a readable update time."""
     rows = entries.select(F.col("id").alias("row_id"), "catalog_id", F.col("entry_updated_at").alias("raw"))
-    return normalise_instants(rows, catalogs, locales, path).withColumnRenamed("row_id", "entry_id")
+    return normalise_instants(rows, catalogs, locales, path, years).withColumnRenamed("row_id", "entry_id")

@@ -10,7 +10,6 @@ the one before it.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharfside.functions import hosts, links, urns
-from wharfside.functions.jsontext import MISSING, member, read_json, scalar_text
+from wharfside.functions.jsontext import MISSING, json_text, member, read_json, scalar_text
 from wharfside.functions.media import media_kind, parse_media
 from wharfside.functions.slices import list_items, written_member
 from wharfside.operators import frontier as fr
@@ -162,7 +161,7 @@ def _json_text(value: object) -> str:
     """JSON text of a list or object, '' when absent or empty (C11)."""
     if not value:
         return ""
-    text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    text = json_text(value)
     for sign in "<>&" + chr(0x2028) + chr(0x2029):
         text = text.replace(sign, f"\\u{ord(sign):04x}")
     return text

@@ -34,3 +34,14 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def finished_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the tables below ``folder`` whose writing has ended; none when there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    below = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
+    return sorted(p.toString() for p in below if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))

@@ -1,7 +1,8 @@
 """Seed sources as DataFrames of (host, ord): fetched payloads in, ordered clean hosts out.
 
 Every source takes already fetched payloads (text, JSON, rows) as a DataFrame;
-``ord`` carries the order of the source, which is part of the result.
+``ord`` carries the order of the source, which is part of the result: a number, or a struct of numbers where
+places nest (document, place in it).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wharfside.functions import hosts
+from wharfside.skew import rank_in_group
 
 #: Records of one certificate search that are read at most, and its default keywords. Fixed values.
 CRTSH_RECORDS = 100_000
@@ -31,11 +33,12 @@ def first_seen(raw: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def listed_seeds(spark: SparkSession, lists: DataFrame, positional: list[str]) -> DataFrame:
-    """(raw, ord): positional seeds, then the lines of list texts (path, text), trimmed, without blank and # lines (A3)."""
+    """(raw, ord): positional seeds, then the lines of list texts (path, text) by path and line, trimmed, without blank and # lines (A3)."""
     given = spark.createDataFrame([(s, i) for i, s in enumerate(positional)], "raw string, ord bigint")
     lines = lists.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw"))
-    lines = lines.select(F.trim("raw").alias("raw"), (F.lit(len(positional)) + F.col("line")).cast("long").alias("ord")).filter("raw <> '' AND NOT startswith(raw, '#')")
-    return given.unionByName(lines)
+    lines = lines.withColumn("raw", F.trim("raw")).filter("raw <> '' AND NOT startswith(raw, '#')")
+    ranked = rank_in_group(lines.withColumn("__all", F.lit(1)), ["__all"], ["path", "line"], "ord", "lines")
+    return given.unionByName(ranked.select("raw", (F.col("ord") + len(positional) - 1).alias("ord")))
 
 
 def ct_names(leaves: DataFrame, logs: list[str], n: int) -> DataFrame:
@@ -54,11 +57,11 @@ def ct_names(leaves: DataFrame, logs: list[str], n: int) -> DataFrame:
         taken += part.agg(F.sum(F.size("names"))).first()[0] or 0
         parts.append(part.select("__log", "index", F.posexplode("names").alias("pos", "raw")))
     if not parts:
-        return leaves.sparkSession.createDataFrame([], "host string, ord bigint")
+        return leaves.sparkSession.createDataFrame([], "host string, ord struct<__log:int,index:bigint,pos:int>")
     raw = parts[0]
     for p in parts[1:]:
         raw = raw.unionByName(p)
-    return first_seen(raw.select("raw", (F.col("__log") * F.lit(1 << 50) + F.col("index") * 1024 + F.col("pos")).cast("long").alias("ord")), n)
+    return first_seen(raw.select("raw", F.struct("__log", "index", "pos").alias("ord")), n)
 
 
 def choose_ct_logs(lists: DataFrame, operators: list[str], now: Column) -> DataFrame:
@@ -83,7 +86,7 @@ def crtsh_names(records: DataFrame, n: int | None = None) -> DataFrame:
     """(host, ord) from certificate search records (query, idx, common_name, name_value): the name, then each line."""
     names = F.concat(F.array("common_name"), F.split(F.coalesce("name_value", F.lit("")), "\n"))
     rows = records.filter(F.col("idx") < CRTSH_RECORDS).select("query", "idx", F.posexplode(names).alias("pos", "raw")).filter("raw <> ''")
-    return first_seen(rows.select("raw", (F.col("query") * F.lit(1 << 40) + F.col("idx") * F.lit(1 << 16) + F.col("pos")).cast("long").alias("ord")), n)
+    return first_seen(rows.select("raw", F.struct("query", "idx", "pos").alias("ord")), n)
 
 
 def ranked_zip(files: DataFrame, n: int) -> DataFrame:
@@ -116,13 +119,13 @@ def repository_hosts(items: DataFrame, n: int | None = None) -> DataFrame:
 def server_hosts(servers: DataFrame, n: int | None = None) -> DataFrame:
     """(host, ord) from listed servers (ord, name, remotes): remote hosts, then the name's domain."""
     rows = servers.select("ord", F.posexplode(hosts.domains_of_server(F.col("name"), F.col("remotes"))).alias("pos", "raw"))
-    return first_seen(rows.select("raw", (F.col("ord") * 1024 + F.col("pos")).cast("long").alias("ord")), n)
+    return first_seen(rows.select("raw", F.struct("ord", "pos").alias("ord")), n)
 
 
 def curated_hosts(texts: DataFrame, n: int | None = None) -> DataFrame:
     """(host, ord) of the URLs in list documents (ord, text), infrastructure dropped."""
     rows = texts.select("ord", F.posexplode(hosts.hosts_of_text(F.col("text"))).alias("pos", "raw"))
-    return first_seen(rows.select("raw", (F.col("ord") * F.lit(1 << 32) + F.col("pos")).cast("long").alias("ord")), n)
+    return first_seen(rows.select("raw", F.struct("ord", "pos").alias("ord")), n)
 
 
 def ranked_hosts(lines: DataFrame, n: int, offset: int = 0) -> DataFrame:
@@ -130,8 +133,6 @@ def ranked_hosts(lines: DataFrame, n: int, offset: int = 0) -> DataFrame:
 
     Blank, # and short lines don't count; ``offset`` valid lines are skipped before hosts are cleaned and repeated ones dropped.
     """
-    from wharfside.skew import rank_in_group
-
     parts = F.split("line", "\t")
     valid = lines.filter((F.trim("line") != "") & ~F.col("line").startswith("#") & (F.size(parts) >= 5)).select(F.lit(1).alias("__all"), "ord", hosts.reverse_host(parts[4]).alias("raw"))
     ranked = rank_in_group(valid, ["__all"], ["ord"], "__rank", "ranks").filter(F.col("__rank") > offset)
