@@ -50,7 +50,17 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_shares(write_table(p7_mix(spark, d), "mix"), table(spark, d, "mix_targets"))
+    targets = table(spark, d, "mix_targets")
+    plan = mixing.plan_mix(table(spark, d, "documents"), targets)
+    assert plan is not None
+    return mixing.mix_shares(write_table(plan.texts(), "mix"), targets).join(plan.report().select("mix_name", "steps", "residual"), "mix_name", "left")
+
+
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_invariants(write_table(p7_mix(spark, d), "mix"), table(spark, d, "documents"), table(spark, d, "mix_targets"), within=0.005)
+
+
+_P7_SQL = "SELECT DISTINCT mix_name, true AS shares_met, true AS limits_kept, true AS texts_once, true AS sources_named FROM mix_targets"
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +80,8 @@ QUERIES: dict[str, Query] = {
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_invariants": p7_invariants,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
 }
-ORACLES = {"p1_entry_records": _P1_SQL}
+ORACLES = {"p1_entry_records": _P1_SQL, "p7_invariants": _P7_SQL}
