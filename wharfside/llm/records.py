@@ -45,22 +45,37 @@ def _digest(*parts: bytes) -> bytes:
 
 
 def node(value: Any) -> tuple[str, bytes]:
-    """Structure of a nested value with normalised leaves, and its digest from the leaves up; '' and no digest for null, absent and empty.
+    """Structure of a value of any depth with normalised leaves, and its digest from the leaves up; '' and no digest for null, absent and empty.
 
     Lists keep their order and a list of scalars is the text of its values, a leaf;
     objects are unordered and drop empty members. Equal structures have equal digests.
     """
-    if isinstance(value, dict):
-        members = sorted((normal_text(k), *n) for k, v in value.items() if (n := node(v))[0])
-        if not members:
-            return "", b""
-        children = sorted(_digest(k.encode("utf-8", "surrogatepass"), b"\x1f", d) for k, _, d in members)
-        return "{" + ",".join(f"{k}:{f}" for k, f, _ in members) + "}", _digest(b"{", *children)
-    if isinstance(value, list) and any(isinstance(v, (dict, list)) for v in value):
-        parts = [n for v in value if (n := node(v))[0]]
-        return ("[" + ",".join(f for f, _ in parts) + "]", _digest(b"[", *[d for _, d in parts])) if parts else ("", b"")
-    form = _leaf(value)
-    return form, _digest(b"=", form.encode("utf-8", "surrogatepass")) if form else b""
+    done: list[tuple[str, bytes]] = []  # finished nodes, the children of an inner node being the last ones
+    todo: list[tuple[Any, list[str] | int | None]] = [(value, None)]  # values, and inner nodes with their member names or number of items
+    while todo:
+        x, below = todo.pop()
+        if below is None:
+            if isinstance(x, dict):
+                todo.append((x, [normal_text(k) for k in x]))
+                todo += [(v, None) for v in reversed(x.values())]
+            elif isinstance(x, list) and any(isinstance(v, (dict, list)) for v in x):
+                todo.append((x, len(x)))
+                todo += [(v, None) for v in reversed(x)]
+            else:
+                form = _leaf(x)
+                done.append((form, _digest(b"=", form.encode("utf-8", "surrogatepass")) if form else b""))
+            continue
+        n = below if isinstance(below, int) else len(below)
+        children = done[len(done) - n :] if n else []
+        del done[len(done) - n :]
+        if isinstance(below, int):
+            parts = [c for c in children if c[0]]
+            done.append(("[" + ",".join(f for f, _ in parts) + "]", _digest(b"[", *[d for _, d in parts])) if parts else ("", b""))
+        else:
+            members = sorted((k, *c) for k, c in zip(below, children, strict=True) if c[0])
+            digests = sorted(_digest(k.encode("utf-8", "surrogatepass"), b"\x1f", d) for k, _, d in members)
+            done.append(("{" + ",".join(f"{k}:{f}" for k, f, _ in members) + "}", _digest(b"{", *digests)) if members else ("", b""))
+    return done[0]
 
 
 def _leaf(value: Any) -> str:
@@ -87,14 +102,15 @@ def merkle(children: dict[str, str], nested: dict[str, bytes] | None = None) ->
     return _digest(*sorted(own))
 
 
-def _written(children: dict[str, str]) -> str:
-    return "\x1e".join(f"{k}\x1f{f}" for k, f in sorted(children.items()) if f).encode("utf-8", "replace").decode("utf-8")
+def _written(children: dict[str, str], fields: list[str]) -> str:
+    """The whole normal form: the values of ``fields`` in their order, so that no names are moved."""
+    return "\x1f".join([children.get(f, "") for f in fields]).rstrip("\x1f").encode("utf-8", "replace").decode("utf-8")
 
 
-def _rows(name: str, ids: list[int], nodes: list[dict[str, str]], nested: list[dict[str, bytes]] | None = None) -> pa.RecordBatch:
+def _rows(name: str, ids: list[int], fields: list[str], nodes: list[dict[str, str]], nested: list[dict[str, bytes]] | None = None) -> pa.RecordBatch:
     below = nested or [{}] * len(nodes)
     return pa.RecordBatch.from_arrays(
-        [pa.array([name] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array([merkle({**n, "": name}, d) for n, d in zip(nodes, below, strict=True)], pa.binary()), pa.array([_written(n) for n in nodes], pa.string())],
+        [pa.array([name] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array([merkle({**n, "": name}, d) for n, d in zip(nodes, below, strict=True)], pa.binary()), pa.array([_written(n, fields) for n in nodes], pa.string())],
         names=["table_name", "record_id", "digest", "form"],
     )
 
@@ -121,12 +137,14 @@ def _of_lines(name: str, fields: list[str]) -> Callable[[Iterator[pa.RecordBatch
                 ids.append(i)
                 nodes.append(forms)
                 nested.append(digests)
-            yield _rows(name, ids, nodes, nested)
+            yield _rows(name, ids, fields, nodes, nested)
 
     return run
 
 
 def _of_columns(name: str, exact: int, fields: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    places = [*(f"={i}" for i in range(exact)), *fields]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
@@ -135,7 +153,7 @@ def _of_columns(name: str, exact: int, fields: list[str]) -> Callable[[Iterator[
                 node = {f"={i}": f"={v}" for i, v in enumerate(values[:exact]) if v is not None}
                 node.update({f: normal_text(v) for f, v in zip(fields, values[exact:], strict=True) if v})
                 nodes.append(node)
-            yield _rows(name, columns[0], nodes)
+            yield _rows(name, columns[0], places, nodes)
 
     return run
 
@@ -174,7 +192,7 @@ def record_copies(records: DataFrame) -> DataFrame:
     gives an empty result.
     """
     kept = write_table(records, "records")
-    groups = write_table(group_records(kept), "groups")
+    groups = group_records(kept)
     forms = groups.groupBy("digest", "table_name").agg(F.count(F.lit(1)).alias("forms"), F.min("first_id").alias("first_id"), F.sum("copies").alias("copies"))
     forms = write_table(forms, "digests")
     on = ["digest", "table_name"]
