@@ -20,7 +20,7 @@ _FOUND = "kind string, url string, host string, depth int, priority int, run_id
 def _frontier(spark, rows):
     """(id, url, host, status, attempts, priority, leased_until, worker)"""
     frame = spark.createDataFrame(rows, "id bigint, url string, host string, status string, attempts int, priority int, leased_until timestamp, worker_id string")
-    full = frame.withColumns({"kind": F.lit("page_fetch"), "run_id": F.lit(1).cast("long"), "depth": F.lit(0), "last_error": F.lit("e"), "parent_catalog_id": F.lit(None).cast("long"), "registry_row_id": F.lit(None).cast("long"), "updated_at": F.lit(NOW)})
+    full = frame.withColumns({"kind": F.lit("page_fetch"), "run_id": F.lit(1).cast("long"), "depth": F.lit(0), "last_error": F.lit("e"), "parent_catalog_id": F.lit(None).cast("long"), "registry_row_id": F.lit(None).cast("long"), "artifact_entry_id": F.lit(None).cast("long"), "updated_at": F.lit(NOW)})
     return fr.items(full).select(*empty_state(spark)["frontier"].columns)
 
 

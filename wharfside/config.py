@@ -17,6 +17,9 @@ DEFAULTS: dict[str, Any] = {
     "log": {"level": "info", "path": ""},
 }
 MOST_WORKERS = 8192
+#: Smallest values of numbers, and the words that a text may be. Fixed values.
+LEAST = {"crawler.maxAttempts": 1, "crawler.refreshHours": 0, "crawler.leaseSeconds": 0, "crawler.maxBodyBytes": 0, "crawler.maxDepth": 0, "crawler.maxCatalogDepth": 0, "crawler.maxReferralDepth": 0, "crawler.maxPagesPerDomain": 0, "registry.pageLimit": 0, "worker.index": 0, "worker.count": 1}
+WORDS = {"log.level": ["debug", "info", "warn", "error"]}
 
 
 def _kind(value: Any) -> str:
@@ -30,6 +33,11 @@ def problems(given: Any, known: Any, at: str = "config") -> list[str]:
             return [f"{at}: expected object"]
         out = [f"{at}.{k}: unknown member" for k in given if k not in known]
         return out + [m for k, v in given.items() if k in known for m in problems(v, known[k], f"{at}.{k}")]
+    place = at.removeprefix("config.")
+    if place in WORDS and isinstance(given, str) and given not in WORDS[place]:
+        return [f"{at}: must be one of {', '.join(WORDS[place])}"]
+    if place in LEAST and isinstance(given, (int, float)) and not isinstance(given, bool) and given < LEAST[place]:
+        return [f"{at}: must be at least {LEAST[place]}"]
     whole = isinstance(given, float) and given.is_integer() and _kind(known) == "integer"
     return [] if whole or _kind(given) == _kind(known) else [f"{at}: expected {_kind(known)}"]
 
@@ -63,3 +71,24 @@ def load(explicit: str = "", folders: list[str] | None = None, name: str = "whar
                 out["storage"]["path"] = str(p.resolve().parent / out["storage"]["path"])
             return out
     return copy.deepcopy(DEFAULTS)
+
+
+def worker_part(flag: str) -> tuple[int, int]:
+    """(index, count) of a worker flag ``index/count``; ValueError when it is no such flag."""
+    index, slash, count = flag.partition("/")
+    if not slash or not index.strip().isdigit() or not count.strip().isdigit():
+        raise ValueError(f"{flag!r} is not index/count")
+    i, n = int(index), int(count)
+    if not 1 <= n <= MOST_WORKERS or i >= n:
+        raise ValueError(f"{flag!r}: index must be below count, and count from 1 to {MOST_WORKERS}")
+    return i, n
+
+
+def or_default(given: Any, default: Any) -> Any:
+    """A setting that was given, else the default: 0, '' and empty lists count as not given."""
+    return given or default
+
+
+def counted(n: int, one: str, many: str = "") -> str:
+    """``1 catalog``, ``2 catalogs``."""
+    return f"{n} {one if n == 1 else many or one + 's'}"

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def json_string(c: Column) -> Column:
-    """A JSON string literal that also escapes < > & and the two line separators; null as ''."""
-    text = F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\"))
+    """A JSON string literal that also escapes < > & and the two line separators; null as ''. Bytes that are no UTF-8 are written as an escape too."""
+    given = F.coalesce(c, F.lit(""))
+    text = F.replace(given, F.lit("\\"), F.lit("\\\\"))
+    text = F.when(F.is_valid_utf8(given), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit(chr(0xFFFD)), F.lit("\\ufffd")))
     for sign, code in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"), ("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (chr(0x2028), "\\u2028"), (chr(0x2029), "\\u2029")):
         text = F.replace(text, F.lit(sign), F.lit(code))
     rest = [chr(i) for i in [*range(0x20)] if chr(i) not in "\n\r\t\b\f"]

@@ -60,6 +60,11 @@ def media_kind(parsed: Column) -> Column:
     return F.when(~kind.isin("catalog", "registry") & (profile(parsed) == SKILL_PROFILE), "skill").otherwise(kind)
 
 
+def is_known(parsed: Column) -> Column:
+    """Whether the kind is one of the list (H4)."""
+    return media_kind(parsed) != "unknown"
+
+
 def is_pointer(parsed: Column) -> Column:
     return media_kind(parsed).isin("catalog", "registry")
 

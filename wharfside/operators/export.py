@@ -1,10 +1,19 @@
-"""Export, reports and ad-hoc questions over the index."""
+"""Export of the index: the join, its two text formats, ordered files with a summary."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import csv
+import io
+import json
+from collections.abc import Iterable
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from wharfside.functions.exporttext import csv_line, json_line
+from wharfside.tables import EXPORT_FIELDS
+
 
 def export_join(entries: DataFrame, catalogs: DataFrame, domains: DataFrame) -> DataFrame:
     """The 13 export fields of each entry with its catalog and domain, plus entry_id to order by.
@@ -29,3 +38,40 @@ def group_count(df: DataFrame, column: str) -> DataFrame:
 
 def empty_label(c: str) -> Column:
     return F.when(F.col(c).isNull() | (F.col(c) == ""), "(empty)").otherwise(F.col(c))
+
+
+def export_lines(joined: DataFrame, form: str, ordered: bool = True) -> DataFrame:
+    """(entry_id, value) lines of the export in 'jsonl' or 'csv', by entry_id; CSV starts with a header, whose entry_id is null.
+
+    The order comes from one range exchange; the header is the line before the smallest id.
+    """
+    if form not in ("jsonl", "csv"):
+        raise ValueError(f"unknown export format {form!r}: jsonl or csv")
+    lines = joined.select("entry_id", (json_line if form == "jsonl" else csv_line)(EXPORT_FIELDS).alias("value"))
+    if form == "csv":
+        lines = joined.sparkSession.createDataFrame([(None, ",".join(EXPORT_FIELDS))], "entry_id bigint, value string").unionByName(lines)
+    return lines.orderBy(F.col("entry_id").asc_nulls_first()) if ordered or form == "csv" else lines
+
+
+def write_export(joined: DataFrame, path: str, form: str = "jsonl", ordered: bool = True) -> dict[str, Any]:
+    """Write the export as text files whose names are in line order; the summary {format, out, rows}.
+
+    Rows are counted while they are written, after the sort, whose sampling would count them again.
+    """
+    seen = Observation()
+    export_lines(joined, form, ordered).observe(seen, F.count("entry_id").alias("rows")).select("value").write.mode("overwrite").text(path)
+    return {"format": form, "out": path, "rows": seen.get["rows"]}
+
+
+def small_export(rows: Iterable[dict[str, str | None]], form: str = "jsonl") -> str:
+    """The export text of a few rows in memory."""
+    values = [[r.get(f) or "" for f in EXPORT_FIELDS] for r in rows]
+    if form == "jsonl":
+        text = "".join(json.dumps(dict(zip(EXPORT_FIELDS, v, strict=True)), ensure_ascii=False, separators=(",", ":")) + "\n" for v in values)
+        for sign in "<>&\u2028\u2029":
+            text = text.replace(sign, f"\\u{ord(sign):04x}")
+        return text
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerows([EXPORT_FIELDS, *values])
+    return out.getvalue()

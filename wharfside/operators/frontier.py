@@ -20,10 +20,10 @@ PENDING, IN_FLIGHT, DONE, FAILED = "pending", "in_flight", "done", "failed"
 LEASE_SECONDS, ATTEMPTS = 600, 3
 SCHEMA = (
     "id bigint, run_id bigint, kind string, url string, host string, depth int, priority int, status string, attempts int, last_error string, dedup_key string, "
-    "host_shard int, parent_catalog_id bigint, registry_row_id bigint, leased_until timestamp, worker_id string, updated_at timestamp"
+    "host_shard int, parent_catalog_id bigint, registry_row_id bigint, artifact_entry_id bigint, leased_until timestamp, worker_id string, updated_at timestamp"
 )
 #: Columns that a new enqueue of a finished item takes over.
-_ADOPTED = ["run_id", "depth", "priority", "parent_catalog_id", "registry_row_id"]
+_ADOPTED = ["run_id", "depth", "priority", "parent_catalog_id", "registry_row_id", "artifact_entry_id"]
 
 
 def items(found: DataFrame) -> DataFrame:
@@ -63,13 +63,13 @@ def enqueue(frontier: DataFrame, incoming: DataFrame, now: Column, budget: int =
     kept = frontier.join(again, "dedup_key", "left")
     finished = F.col("status").isin(DONE, FAILED) & F.col("__in")
     changes = {"status": F.lit(PENDING), "attempts": F.lit(0), "last_error": F.lit(""), **_release(now)}
-    changes |= {c: F.col(f"__{c}") for c in _ADOPTED if c in first.columns}
+    changes |= {c: F.col(f"__{c}") for c in _ADOPTED if c in first.columns and c in frontier.columns}
     kept = kept.withColumn("__finished", finished)
     kept = update(kept, F.col("__finished"), changes).select(*frontier.columns)
     fresh = first.join(frontier.select("dedup_key"), "dedup_key", "left_anti")
     if budget >= 0:
         used = frontier.groupBy("host", "kind").agg(F.count(F.lit(1)).alias("__used"))
-        ranked = rank_in_group(fresh, ["host", "kind"], ["seq", "dedup_key"], "__rank", "budget").join(used, ["host", "kind"], "left")
+        ranked = rank_in_group(fresh, ["host", "kind"], ["seq", "dedup_key"], "__rank", "budget").filter(F.col("__rank") <= budget).join(used, ["host", "kind"], "left")
         fresh = ranked.filter(F.col("__rank") + F.coalesce("__used", F.lit(0)) <= budget).drop("__rank", "__rank_size", "__used")
     return kept.unionByName(number(fresh_rows(fresh, frontier, now), frontier))
 
@@ -98,18 +98,21 @@ def number(fresh: DataFrame, frontier: DataFrame) -> DataFrame:
     return ranked.withColumn("id", F.col("__rank") + F.lit(top)).select(*frontier.columns)
 
 
+def ready(frontier: DataFrame, shard: tuple[int, int] | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The pending items, of one part of the hosts (index, count) and among ``only`` (id) where given."""
+    out = frontier.filter(F.col("status") == PENDING)
+    if shard and shard[1] > 1:
+        out = out.filter(F.col("host_shard") % shard[1] == shard[0])
+    return out if only is None else out.join(only.select("id"), "id", "left_semi").select(*frontier.columns)
+
+
 def dequeue(frontier: DataFrame, n: int, now: Column, worker: str = "", lease_seconds: int = LEASE_SECONDS, shard: tuple[int, int] | None = None, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(leased items, next snapshot): the first n pending items by priority (highest first) and id.
 
     ``shard`` (index, count) restricts to one part of the hosts; a count of 1
     or less doesn't. ``only`` (id) restricts to these items. A lease of 0 seconds or less has no end. n bounds what is broadcast.
     """
-    ready = frontier.filter(F.col("status") == PENDING)
-    if shard and shard[1] > 1:
-        ready = ready.filter(F.col("host_shard") % shard[1] == shard[0])
-    if only is not None:
-        ready = ready.join(only.select("id"), "id", "left_semi").select(*frontier.columns)
-    taken = ready.orderBy(F.col("priority").desc(), "id").limit(n)
+    taken = ready(frontier, shard, only).orderBy(F.col("priority").desc(), "id").limit(n)
     until = now + F.make_interval(secs=F.lit(lease_seconds)) if lease_seconds > 0 else F.lit(None).cast("timestamp")
     changes = {"status": F.lit(IN_FLIGHT), "leased_until": until, "worker_id": F.lit(worker), "updated_at": now}
     hit = frontier.join(F.broadcast(taken.select("id").withColumn("__hit", F.lit(True))), "id", "left")
@@ -167,3 +170,26 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__l")).select(*key, "__l.*")
 
 
+def ownership(frontier: DataFrame, ids: DataFrame, worker: str) -> DataFrame:
+    """(id, outcome) of items that ``worker`` wants to close: 'held', 'lease_lost' or 'not_found' (C9)."""
+    asked = ids.select("id").distinct()
+    joined = asked.join(frontier.select("id", "status", "worker_id"), "id", "left")
+    held = (F.col("status") == IN_FLIGHT) & (F.col("worker_id") == worker)
+    return joined.select("id", F.when(F.col("status").isNull(), "not_found").when(held, "held").otherwise("lease_lost").alias("outcome"))
+
+
+def due_times(items: DataFrame, now: Column, per_second: float = 1.0) -> DataFrame:
+    """``items`` with not_before: fetches of one host follow each other at ``per_second``, the first at ``now`` (L3).
+
+    A token bucket of one token written as a schedule; each item's turn is its
+    rank within its host, dealt out in range parts, so a host with very many
+    items is no task of its own.
+    """
+    ranked = rank_in_group(items.withColumn("__h", fetch_host(F.col("url"), F.col("host"))), ["__h"], ["id"], "__turn", "turns")
+    wait = F.make_interval(secs=((F.col("__turn") - 1) / per_second).cast("decimal(18,6)"))
+    return ranked.withColumn("not_before", now + wait).drop("__h", "__turn", "__turn_size")
+
+
+def shared_hosts(frontier: DataFrame) -> DataFrame:
+    """(host, workers): hosts whose items several workers hold or held."""
+    return frontier.filter("worker_id <> ''").groupBy("host").agg(F.count_distinct("worker_id").alias("workers")).filter("workers > 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -88,3 +88,33 @@ def classify_fetch(status: Column, error: Column) -> Column:
 def is_transient(status: Column, error: Column) -> Column:
     """429, 5xx, timeouts and DNS failures are worth another attempt."""
     return F.coalesce((status == 429) | (status >= 500), F.lit(False)) | F.coalesce(error.isin("timeout", "dns", "network"), F.lit(False))
+
+
+class NotFound(LookupError):
+    """No row has the key that was asked for."""
+
+
+def look_up(df: DataFrame, **key: object) -> Row:
+    """The row with these column values, of several the first by id; NotFound when there is none."""
+    hit = df
+    for c, v in key.items():
+        hit = hit.filter(F.col(c) == F.lit(v))
+    rows = hit.orderBy("id").head(1)
+    if not rows:
+        raise NotFound(", ".join(f"{c}={v!r}" for c, v in key.items()))
+    return rows[0]
+
+
+def of_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is among ``keys`` (one column); for lists of any length."""
+    return df.join(keys.select(F.col(keys.columns[0]).alias(column)).distinct(), column, "left_semi").select(*df.columns)
+
+
+def backoff_seconds(attempts: Column, first: float = 1.0, most: float = 30.0) -> Column:
+    """How long a failed item waits before its next attempt: doubled each time, ``most`` at most."""
+    return F.least(F.lit(most), F.lit(first) * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0))))
+
+
+def misplaced_checks(checks: DataFrame, entries: DataFrame) -> DataFrame:
+    """Checks whose subject isn't there: they must be none before a catalog is saved."""
+    return checks.filter("subject_type = 'entry'").join(entries.select(F.col("id").alias("subject_id")), "subject_id", "left_anti")

@@ -51,7 +51,12 @@ class Config:
     max_body: int = 5 << 20
 
 
-_ITEM = "kind string, url string, host string, depth int, priority int, run_id bigint, parent_catalog_id bigint, registry_row_id bigint, artifact_entry_id bigint, seq bigint"
+_ITEM = "kind string, url string, host string, depth int, priority int, run_id bigint, parent_catalog_id bigint, registry_row_id bigint, artifact_entry_id bigint, seq struct<a:int,b:bigint,c:bigint>"
+
+
+def _seq(kind: int, major: Column, minor: Column) -> Column:
+    """Order of found items: by kind of finding, then by what they were found in, then by place."""
+    return F.struct(F.lit(kind).alias("a"), major.cast("long").alias("b"), minor.cast("long").alias("c"))
 
 
 def seed_items(seeds: DataFrame) -> DataFrame:
@@ -60,14 +65,14 @@ def seed_items(seeds: DataFrame) -> DataFrame:
     kinds = F.when(url, F.array(F.lit("page_fetch"), F.lit("host_probe"))).otherwise(F.array(F.lit("host_probe")))
     rows = seeds.select("raw", "ord", url.alias("is_url"), F.posexplode(kinds).alias("pos", "kind"))
     host = F.when(F.col("kind") == "page_fetch", hosts.host_of(F.col("raw"))).when(F.col("is_url"), hosts.url_host(F.col("raw"))).otherwise(F.col("raw"))
-    return _items(rows, F.col("kind"), F.when(F.col("kind") == "page_fetch", F.col("raw")).otherwise(F.lit("")), host, F.lit(0), F.col("ord") * 2 + F.col("pos"))
+    return _items(rows, F.col("kind"), F.when(F.col("kind") == "page_fetch", F.col("raw")).otherwise(F.lit("")), host, F.lit(0), _seq(0, F.col("ord"), F.col("pos")))
 
 
 def _items(df: DataFrame, kind: Column, url: Column, host: Column, depth: Column, seq: Column, **more: Column) -> DataFrame:
     columns = {"kind": kind, "url": url, "host": host, "depth": depth, "priority": F.lit(0), "run_id": F.lit(1), "seq": seq} | more
     out = []
     for part in _ITEM.split(", "):
-        name, kind_name = part.split(" ")
+        name, kind_name = part.split(" ", 1)
         out.append(columns.get(name, F.lit(None)).cast(kind_name).alias(name))
     return df.select(*out).filter("coalesce(url, '') <> '' OR coalesce(host, '') <> ''")
 
@@ -220,6 +225,42 @@ def _http_ok(alias: str = "") -> Column:
     return F.coalesce((F.col(f"{alias}status") >= 200) & (F.col(f"{alias}status") < 400), F.lit(False))
 
 
+def probe(probed: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, host, method, asked, http, content_type, outcome, detail, urls): both ways of asking each host of ``probed`` (id, host), in fixed order.
+
+    The well-known address must answer with JSON, robots.txt with Agentmap
+    lines; a 4xx answer is a miss, any other failure an error, and so is a
+    host without an answer.
+    """
+    ways = F.array(F.struct(F.lit("well_known").alias("method"), F.lit(WELL_KNOWN).alias("path")), F.struct(F.lit("robots_agentmap").alias("method"), F.lit("/robots.txt").alias("path")))
+    asked = probed.select("id", "host", F.explode(ways).alias("w")).select("id", "host", "w.method", F.concat(F.lit("https://"), F.col("host"), F.col("w.path")).alias("asked"))
+    seen = asked.join(answers.withColumnRenamed("status", "http"), F.col("asked") == F.col("url"), "left").drop("url")
+    text = F.col("body").cast("string")
+    well, fine = F.col("method") == "well_known", F.col("o") == "ok"
+    seen = seen.withColumns({
+        "o": store.classify_fetch(F.col("http"), F.coalesce("error_class", F.when(F.col("http").isNull(), "unreachable"))),
+        "is_json": hosts.looks_like_json(F.col("content_type"), text),
+        "maps": links.agentmap_urls_udf(F.coalesce(text, F.lit("")), F.col("asked")),
+    })
+    nothing = F.array().cast("array<string>")
+    urls = F.when(~fine | (well & ~F.col("is_json")), nothing).when(well, F.array(F.coalesce("final_url", "asked"))).otherwise(F.col("maps"))
+    detail = (
+        F.when(F.col("o") == "error", F.coalesce("error_class", F.lit("fetch failed")))
+        .when(fine & well & ~F.col("is_json"), "non-JSON response")
+        .when(fine & ~well & (F.size("maps") == 0), "no Agentmap directive")
+        .otherwise("")
+    )
+    seen = seen.withColumn("urls", urls).withColumn("detail", detail)
+    outcome = F.when(F.size("urls") > 0, "hit").when(F.col("o") == "error", "error").otherwise("miss")
+    return seen.select("id", "host", "method", "asked", "http", "content_type", outcome.alias("outcome"), "detail", "urls")
+
+
+def probe_rows(seen: DataFrame, domains: DataFrame, at: Column) -> DataFrame:
+    """Rows of the probes table from ``probe``, for hosts that are domains."""
+    own = seen.join(domains.select("host", F.col("id").alias("domain_id")), "host")
+    return own.select("domain_id", "method", F.col("asked").alias("url"), F.col("http").alias("http_status"), "content_type", "outcome", F.col("detail").alias("error_detail"), at.alias("probed_at"))
+
+
 def step(state: State, responses: DataFrame, now: datetime, cfg: Config, registry_pages: DataFrame | None = None, only: DataFrame | None = None) -> State:
     """One super-step: lease, handle every kind of item, store results, enqueue what was found, close the items.
 
@@ -232,8 +273,10 @@ def step(state: State, responses: DataFrame, now: datetime, cfg: Config, registr
     answers = responses.dropDuplicates(["url"])
     robots = answers.filter(_http_ok()).filter(F.col("url").endswith("/robots.txt")).select(hosts.host_of(F.col("url")).alias("__rh"), F.col("body").cast("string").alias("robots"))
     got = leased.filter("kind <> 'host_probe' AND kind <> 'registry_harvest'").join(answers.withColumnRenamed("url", "__u").withColumnRenamed("status", "http"), F.col("url") == F.col("__u"), "left")
-    got = got.withColumn("__h", hosts.host_of(F.col("url"))).join(robots, F.col("__h") == F.col("__rh"), "left")
-    got = got.withColumn("allowed", (F.col("kind") == "catalog_fetch") | F.coalesce(links.robots_allow_udf(F.coalesce("robots", F.lit("")), F.col("url"), F.lit(cfg.agent)), F.lit(True)))
+    # Rules are applied to addresses before bodies come in, so that the answers of a host with very many pages stay where they are.
+    asked = leased.filter("kind IN ('page_fetch', 'artifact_fetch')").select("id", "url", hosts.host_of(F.col("url")).alias("__h")).join(robots, F.col("__h") == F.col("__rh"))
+    refused = asked.filter(~F.coalesce(links.robots_allow_udf("robots", "url", F.lit(cfg.agent)), F.lit(True))).select("id", F.lit(False).alias("__may"))
+    got = got.join(refused, "id", "left").withColumn("allowed", F.coalesce("__may", F.lit(True)))
     fetched = F.coalesce(F.col("http").between(200, 399), F.lit(False)) & (F.octet_length("body") <= cfg.max_body)
     got = write_table(got.withColumn("fetched", fetched).withColumn("transient", store.is_transient(F.col("http"), F.col("error_class")) | F.col("__u").isNull()), "fetched")
     found: list[DataFrame] = []
@@ -246,7 +289,7 @@ def step(state: State, responses: DataFrame, now: datetime, cfg: Config, registr
     page_hosts = pages.select("id", F.posexplode("l.hosts").alias("pos", "host"))
     hints = pages.select("id", F.posexplode("l.hints").alias("pos", "url")).withColumn("host", hosts.host_of(F.col("url")))
     more = pages.filter(F.col("depth") < cfg.max_depth).select("id", "depth", F.posexplode("l.links").alias("pos", "url")).withColumn("host", hosts.host_of(F.col("url")))
-    order = F.col("id") * F.lit(1 << 20) + F.col("pos")
+    order = _seq(0, F.col("id"), F.col("pos") + 2)
     found.append(_items(page_hosts, F.lit("host_probe"), F.lit(""), F.col("host"), F.lit(0), order))
     found.append(_items(hints, F.lit("catalog_fetch"), F.col("url"), F.col("host"), F.lit(0), order))
     page_items = _items(more, F.lit("page_fetch"), F.col("url"), F.col("host"), F.col("depth") + 1, order)
@@ -257,26 +300,15 @@ def step(state: State, responses: DataFrame, now: datetime, cfg: Config, registr
     if not cfg.force:
         known = state["domains"].filter(store.is_fresh(F.col("last_probed_at"), at, cfg.refresh_hours))
         probed = probed.join(known.select("host"), "host", "left_anti")
-    ways = F.array(F.struct(F.lit("well_known").alias("method"), F.lit(WELL_KNOWN).alias("path")), F.struct(F.lit("robots_agentmap").alias("method"), F.lit("/robots.txt").alias("path")))
-    asked = probed.select("id", "host", F.explode(ways).alias("w")).select("id", "host", "w.method", F.concat(F.lit("https://"), F.col("host"), F.col("w.path")).alias("asked"))
-    seen = asked.join(answers.withColumnRenamed("status", "http"), F.col("asked") == F.col("url"), "left").drop("url")
-    outcome = store.classify_fetch(F.col("http"), F.coalesce("error_class", F.when(F.col("http").isNull(), "unreachable")))
-    text = F.col("body").cast("string")
-    maps = links.agentmap_urls_udf(F.coalesce(text, F.lit("")), F.col("asked"))
-    well = F.col("method") == "well_known"
-    seen = seen.withColumn("o", outcome).withColumn("is_json", hosts.looks_like_json(F.col("content_type"), text)).withColumn("maps", maps)
-    urls = F.when(F.col("o") != "ok", F.array().cast("array<string>")).when(well & F.col("is_json"), F.array(F.coalesce("final_url", "asked"))).when(well, F.array().cast("array<string>")).otherwise(F.col("maps"))
-    detail = F.when(F.col("o") == "error", F.coalesce("error_class", F.lit("fetch failed"))).when((F.col("o") == "ok") & well & ~F.col("is_json"), "non-JSON response").when((F.col("o") == "ok") & ~well & (F.size("maps") == 0), "no Agentmap directive").otherwise("")
-    seen = seen.withColumn("urls", urls).withColumn("detail", detail)
-    seen = write_table(seen.withColumn("outcome", F.when(F.size("urls") > 0, "hit").when(F.col("o") == "error", "error").otherwise("miss")), "probes")
+    seen = write_table(probe(probed, answers), "probes")
     hits = seen.select("id", "host", F.posexplode("urls").alias("pos", "url"))
     found.append(_items(hits, F.lit("catalog_fetch"), F.col("url"), F.col("host"), F.lit(0), order))
-    hosts_found.append(probed.select("host", F.lit("seed").alias("discovery_source"), (F.col("id") * F.lit(1 << 20)).alias("seq")))
+    hosts_found.append(probed.select("host", F.lit("seed").alias("discovery_source"), _seq(0, F.col("id"), F.lit(0)).alias("seq")))
 
     # K6, K7, K9: catalogs with those embedded in them
     docs_in = got.filter("kind = 'catalog_fetch' AND fetched").select("id", "host", F.coalesce("final_url", "url").alias("source_url"), "depth", "parent_catalog_id", "body")
     docs = write_table(docs_in.mapInPandas(_expander(cfg.max_catalog_depth), _DOCS), "documents")
-    hosts_found.append(docs.select("host", F.lit("catalog_ref").alias("discovery_source"), (F.col("seq") * F.lit(1 << 20) + 1).alias("seq")))
+    hosts_found.append(docs.select("host", F.lit("catalog_ref").alias("discovery_source"), _seq(0, F.col("seq"), F.lit(1)).alias("seq")))
     domains = write_table(store.upsert_domains(state["domains"], _union(hosts_found), at), "domains")
     by_host = domains.select("host", F.col("id").alias("domain_id"))
     docs = docs.join(by_host, "host")
@@ -300,9 +332,9 @@ def step(state: State, responses: DataFrame, now: datetime, cfg: Config, registr
     # What entries lead to
     todo = entries.join(linked.filter(F.col("depth") < cfg.max_catalog_depth).select(F.col("id").alias("catalog_id")), "catalog_id", "left_semi")
     follow = store.followups(todo, cfg.harvest, cfg.fetch_artifacts).join(entries.select(F.col("id").alias("entry_id"), "host", "depth"), "entry_id")
-    late = F.col("entry_id") + F.lit(1 << 60)
+    late = _seq(1, F.col("entry_id"), F.lit(0))
     found.append(_items(follow.filter("follow = 'catalog_fetch'"), F.lit("catalog_fetch"), F.col("url"), F.col("host"), F.col("depth") + 1, late, parent_catalog_id=F.col("catalog_id")))
-    found.append(_items(follow.filter("follow = 'artifact_fetch'"), F.lit("artifact_fetch"), F.col("url"), F.col("host"), F.lit(0), late))
+    found.append(_items(follow.filter("follow = 'artifact_fetch'"), F.lit("artifact_fetch"), F.col("url"), F.col("host"), F.lit(0), late, artifact_entry_id=F.col("entry_id")))
     listed = follow.filter("follow = 'registry_harvest'").select("entry_id", "catalog_id", F.col("url").alias("base_url"), F.lit("pending").alias("harvest_status"), F.lit(None).cast("bigint").alias("referral_source_id"), "host", F.lit(0).alias("depth"))
 
     # registries
@@ -313,22 +345,19 @@ def step(state: State, responses: DataFrame, now: datetime, cfg: Config, registr
         next_state["entries"] = more_entries
     fresh = write_table(_number(listed.withColumn("id", F.lit(None).cast("bigint")), registries, ["entry_id", "base_url"]), "registries")
     next_state["registries"] = _append(registries, fresh, "registries")
-    found.append(_items(fresh, F.lit("registry_harvest"), F.col("base_url"), F.col("host"), F.col("depth"), F.col("id") + F.lit(1 << 61), registry_row_id=F.col("id")))
+    found.append(_items(fresh, F.lit("registry_harvest"), F.col("base_url"), F.col("host"), F.col("depth"), _seq(2, F.col("id"), F.lit(0)), registry_row_id=F.col("id")))
 
-    # Artifacts; the entry is the one whose pointer was followed
+    # Artifacts, each of the entry whose pointer was followed
     arts = got.filter("kind = 'artifact_fetch' AND allowed AND (fetched OR NOT transient)")
-    owner = next_state["entries"].filter("ref_url <> ''").groupBy(F.col("ref_url").alias("url")).agg(F.min("id").alias("entry_id"))
-    arts = arts.join(owner, "url", "left").select(
-        "entry_id", F.coalesce("final_url", "url").alias("url"), F.coalesce("http", F.lit(0)).alias("http_status"), "content_type", F.when(F.col("fetched"), F.col("body")).alias("raw_body"),
+    arts = arts.select(
+        F.col("artifact_entry_id").alias("entry_id"), F.coalesce("final_url", "url").alias("url"), F.coalesce("http", F.lit(0)).alias("http_status"), "content_type", F.when(F.col("fetched"), F.col("body")).alias("raw_body"),
         F.when(F.col("fetched"), F.sha2("body", 256)).alias("content_hash"), F.when(F.col("fetched"), "ok").otherwise("error").alias("fetch_status"), at.alias("fetched_at"),
     )
     next_state["artifacts"] = _append(state["artifacts"], arts, "artifacts")
 
     # Probes and statuses
-    tagged = hints.select("host", F.lit("link_tag").alias("method"), "url", F.lit(None).cast("int").alias("http"), F.lit(None).cast("string").alias("content_type"), F.lit("hit").alias("outcome"), F.lit("").alias("detail"))
-    every = seen.select("host", "method", F.col("asked").alias("url"), "http", "content_type", "outcome", "detail").unionByName(tagged)
-    rows = every.join(by_host, "host").select("domain_id", "method", "url", F.col("http").alias("http_status"), "content_type", "outcome", F.col("detail").alias("error_detail"), at.alias("probed_at"))
-    rows = write_table(rows, "probe_rows")
+    tagged = hints.select("host", F.lit("link_tag").alias("method"), F.col("url").alias("asked"), F.lit(None).cast("int").alias("http"), F.lit(None).cast("string").alias("content_type"), F.lit("hit").alias("outcome"), F.lit("").alias("detail"))
+    rows = write_table(probe_rows(seen.select(*tagged.columns).unionByName(tagged), domains, at), "probe_rows")
     next_state["probes"] = _append(state["probes"], rows, "probes")
     silent = seen.groupBy("host").agg(F.max(F.col("outcome") == "hit").alias("hit")).filter("NOT hit").select("host", F.lit("not_found").alias("ard_status"), F.lit(0).cast("bigint").alias("seq"))
     judged = linked.select("host", F.when(F.col("verification_status") == "invalid", "found_invalid").otherwise("found_valid").alias("ard_status"), "id").withColumnRenamed("id", "seq")

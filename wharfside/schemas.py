@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wharfside.operators.frontier import SCHEMA as FRONTIER
 
@@ -23,3 +24,30 @@ RESPONSES = "url string, final_url string, status int, content_type string, body
 def empty_state(spark: SparkSession) -> dict[str, DataFrame]:
     """All tables without rows."""
     return {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
+
+
+def schema_problems(df: DataFrame, name: str) -> list[str]:
+    """How a stored table differs from the present schema: columns that it lacks or has in another type (A2)."""
+    wanted = df.sparkSession.createDataFrame([], TABLES[name]).schema
+    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return [f"{name}.{f.name}: {have.get(f.name, 'absent')}, not {f.dataType.simpleString()}" for f in wanted.fields if have.get(f.name) != f.dataType.simpleString()]
+
+
+def reconcile(spark: SparkSession, state: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A stored state in the present schema (A2).
+
+    A frontier of another schema, or with keys longer than a digest, is begun
+    anew, since its keys wouldn't be found again; other tables get null
+    columns for those they lack, and tables that are absent are empty.
+    """
+    out = empty_state(spark)
+    for name, df in state.items():
+        if name == "frontier":
+            old = schema_problems(df, name) or df.filter("length(dedup_key) > 64").head(1)
+            out[name] = out[name] if old else df
+        elif name in TABLES:
+            columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in out[name].schema.fields]
+            out[name] = df.select(*columns)
+        else:
+            out[name] = df
+    return out

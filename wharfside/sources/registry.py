@@ -19,10 +19,11 @@ def harvest(bases: DataFrame, pages: DataFrame, page_limit: int = 0) -> DataFram
     """
     at = bases.select("base_url").distinct().select("base_url", F.lit("").alias("token"), F.array(F.lit("")).alias("used"))
     keep = [c for c in pages.columns if c not in ("page_token", "next_token")]
+    named = pages.withColumnRenamed("page_token", "token")
     found, number = None, 0
     while (page_limit <= 0 or number < page_limit) and at.head(1):
         number += 1
-        hit = write_table(at.join(pages, (at.base_url == pages.base_url) & (at.token == pages.page_token)).select(at.base_url, "used", *[pages[c] for c in keep if c != "base_url"], "next_token"), "pages")
+        hit = write_table(at.join(named, ["base_url", "token"]).select("used", *keep, "next_token"), "pages")
         part = hit.select(*keep, F.lit(number).alias("page_no"))
         found = part if found is None else found.unionByName(part)
         token = F.coalesce("next_token", F.lit(""))

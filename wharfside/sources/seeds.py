@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,6 +112,33 @@ def ranked_zip(files: DataFrame, n: int) -> DataFrame:
     return first_seen(files.select("content").mapInArrow(run, "raw string, ord bigint"), n)
 
 
+#: Rows of a full page and pages read at most, of code search and of server listings. Fixed values.
+SEARCH_PAGES, LISTING_PAGES = (100, 10), (100, 100)
+
+
+def paged(items: DataFrame, size: int, most: int) -> DataFrame:
+    """The items (page from 0, ...) that a reader of pages gets: it stops after a page that isn't full, and after ``most`` pages."""
+    near = items.filter(F.col("page") < most)
+    counts = {r.page: r.n for r in near.groupBy("page").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``most`` rows
+    last = next((p for p in range(most) if counts.get(p, 0) < size), most)
+    return near.filter(F.col("page") <= last)
+
+
+def listed_by_cursor(pages: DataFrame, most: int = LISTING_PAGES[1]) -> DataFrame:
+    """(page, ...) of listing pages (cursor, next_cursor, ...), followed from the empty cursor, ``most`` pages at most."""
+    links = {r.cursor: r.next_cursor for r in pages.select("cursor", "next_cursor").collect()} if pages.count() <= most * 100 else None
+    if links is None:
+        raise ValueError("more pages than a listing can have")
+    order, at = [], ""
+    while at in links and len(order) < most and at not in order:
+        order.append(at)
+        at = links[at] or ""
+        if not at:
+            break
+    numbers = pages.sparkSession.createDataFrame([(c, i) for i, c in enumerate(order)], "cursor string, page int")
+    return pages.join(F.broadcast(numbers), "cursor")
+
+
 def repository_hosts(items: DataFrame, n: int | None = None) -> DataFrame:
     """(host, ord) from code search items (ord, full_name, homepage)."""
     return first_seen(items.select(hosts.domain_of_repository(F.col("full_name"), F.col("homepage")).alias("raw"), F.col("ord").cast("long").alias("ord")).filter("raw IS NOT NULL"), n)
@@ -144,12 +172,56 @@ def newest_release(releases: DataFrame) -> Column:
     return F.element_at(F.from_json(releases["releases"], "array<struct<id:string>>"), 1)["id"]
 
 
-#: Sources by name.
-SOURCES: dict[str, Callable[..., DataFrame]] = {
-    "ct": ct_names, "crtsh": crtsh_names, "tranco": ranked_zip, "github": repository_hosts, "mcp": server_hosts, "curated": curated_hosts, "commoncrawl": ranked_hosts,
+@dataclass(frozen=True)
+class Source:
+    """A seed source: what reads its payload, how many hosts it gives and how many it steps over by default."""
+
+    read: Callable[..., DataFrame]
+    count: int = 1000
+    offset: int = 0
+
+
+#: Sources by name.
+SOURCES: dict[str, Source] = {
+    "ct": Source(lambda payload, n, offset, **more: ct_names(payload, more["logs"], n)),
+    "crtsh": Source(lambda payload, n, offset, **more: crtsh_names(payload, n)),
+    "tranco": Source(lambda payload, n, offset, **more: ranked_zip(payload, n)),
+    "github": Source(lambda payload, n, offset, **more: repository_hosts(paged(payload, *SEARCH_PAGES) if "page" in payload.columns else payload, n)),
+    "mcp": Source(lambda payload, n, offset, **more: server_hosts(payload, n)),
+    "curated": Source(lambda payload, n, offset, **more: curated_hosts(payload, n)),
+    "commoncrawl": Source(lambda payload, n, offset, **more: ranked_hosts(payload, n, offset)),
 }
 
 
+def build_seeder(name: str, count: int = 0, offset: int = 0, **more: object) -> Callable[[DataFrame], DataFrame]:
+    """A function from a source's payload to its hosts (host, ord); a count or offset of 0 leaves the source's own.
+
+    ValueError for an unknown name.
+    """
+    if name not in SOURCES:
+        raise ValueError(f"unknown source {name!r}: one of {', '.join(sorted(SOURCES))}")
+    source = SOURCES[name]
+    return lambda payload: source.read(payload, count or source.count, offset or source.offset, **more)
+
+
+class NoLogs(ValueError):
+    """No usable log matches the operators that were asked for."""
+
+
+def need_ct_logs(lists: DataFrame, operators: list[str], now: Column) -> DataFrame:
+    """``choose_ct_logs``, or NoLogs with the names of the operators that have usable logs."""
+    chosen = choose_ct_logs(lists, operators, now)
+    if not chosen.head(1):
+        names = [r.operator for r in lists.filter("usable").select("operator").distinct().orderBy("operator").collect()]  # one row for each operator
+        raise NoLogs(f"no usable log of {', '.join(operators) or 'any operator'}; operators: {', '.join(names)}")
+    return chosen
+
+
+def keywords(given: list[str] | None) -> list[str]:
+    """The keywords of a certificate search: those given, else the default ones."""
+    return [k for k in given or [] if k] or list(CRTSH_KEYWORDS)
+
+
 def search_url(base: Column) -> Column:
     """Search endpoint of a registry: one trailing slash goes, /search is added unless it is there."""
     bare = F.regexp_replace(base, "/$", "")

@@ -61,6 +61,16 @@ def probe_events(probes: DataFrame) -> DataFrame:
     )
 
 
+def catalog_events(catalogs: DataFrame, summaries: DataFrame) -> DataFrame:
+    """One event (ts, level, event, detail) for each verified catalog, with what failed (catalog_id, summary)."""
+    told = catalogs.join(summaries.withColumnRenamed("catalog_id", "id"), "id", "left")
+    bad = F.col("verification_status") == "invalid"
+    return told.select(
+        F.col("fetched_at").alias("ts"), F.when(bad, "warn").otherwise("info").alias("level"), F.lit("catalog_verified").alias("event"),
+        F.concat_ws(" ", "source_url", "verification_status", F.nullif(F.coalesce("summary", F.lit("")), F.lit(""))).alias("detail"),
+    )
+
+
 def at_least(level: Column, least: str) -> Column:
     """Whether an event's level is ``least`` or higher; unknown levels count as info."""
     rank = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.lower(level))
