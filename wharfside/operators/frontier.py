@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharfside.functions.hosts import dedup_key, fetch_host, host_shard
-from wharfside.skew import rank_in_group
+from wharfside.skew import numbered, rank_in_group
 
 PENDING, IN_FLIGHT, DONE, FAILED = "pending", "in_flight", "done", "failed"
 #: Seconds of a lease, attempts of a transient failure. Fixed values.
@@ -92,9 +92,9 @@ def fresh_rows(fresh: DataFrame, frontier: DataFrame, now: Column) -> DataFrame:
 
 
 def number(fresh: DataFrame, frontier: DataFrame) -> DataFrame:
-    """Ids for new rows: their rank by seq after the highest id. The rank is dealt out in range parts, not in one task."""
+    """Ids for new rows: their rank by seq after the highest id. Ranks are dealt out in range parts, not in one task."""
     top = frontier.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    ranked = rank_in_group(fresh.withColumn("__all", F.lit(1)), ["__all"], ["seq", "dedup_key"], "__rank", "numbered")
+    ranked = numbered(fresh, ["seq", "dedup_key"], "__rank")
     return ranked.withColumn("id", F.col("__rank") + F.lit(top)).select(*frontier.columns)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from wharfside.skew import numbered
+
 
 def upsert_domains(domains: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     """Hosts that are absent become unprobed domains; of several sources the first by seq holds; present rows stay.
@@ -20,10 +22,8 @@ def upsert_domains(domains: DataFrame, found: DataFrame, now: Column) -> DataFra
 
 def with_ids(fresh: DataFrame, present: DataFrame, order: list[str]) -> DataFrame:
     """Consecutive ids after the highest present one, in ``order``, numbered in range parts."""
-    from wharfside.skew import rank_in_group
-
     top = present.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    ranked = rank_in_group(fresh.withColumn("__all", F.lit(1)), ["__all"], order, "__rank", "ids")
+    ranked = numbered(fresh, order, "__rank", "ids")
     return ranked.withColumn("id", F.col("__rank") + F.lit(top)).select(*present.columns)
 
 

@@ -25,7 +25,8 @@ from wharfside.functions.slices import list_items, written_member
 from wharfside.operators import frontier as fr
 from wharfside.operators import store, verify
 from wharfside.schemas import RESPONSES, empty_state
-from wharfside.scratch import write_table
+from wharfside.scratch import append_table, write_table
+from wharfside.skew import numbered
 from wharfside.sources.registry import harvest, whole_walks
 
 State = dict[str, DataFrame]
@@ -270,98 +271,85 @@ def step(state: State, responses: DataFrame, now: datetime, cfg: Config, registr
     at = F.lit(now)
     leased, after = fr.dequeue(state["frontier"], cfg.items_a_step, at, only=only)
     leased, after = write_table(leased, "leased"), write_table(after, "frontier")
+    kinds = {r.kind for r in leased.select("kind").distinct().collect()}  # at most five; work that no item asks for is left out
     answers = responses.dropDuplicates(["url"])
-    robots = answers.filter(_http_ok()).filter(F.col("url").endswith("/robots.txt")).select(hosts.host_of(F.col("url")).alias("__rh"), F.col("body").cast("string").alias("robots"))
-    got = leased.filter("kind <> 'host_probe' AND kind <> 'registry_harvest'").join(answers.withColumnRenamed("url", "__u").withColumnRenamed("status", "http"), F.col("url") == F.col("__u"), "left")
-    # Rules are applied to addresses before bodies come in, so that the answers of a host with very many pages stay where they are.
-    asked = leased.filter("kind IN ('page_fetch', 'artifact_fetch')").select("id", "url", hosts.host_of(F.col("url")).alias("__h")).join(robots, F.col("__h") == F.col("__rh"))
-    refused = asked.filter(~F.coalesce(links.robots_allow_udf("robots", "url", F.lit(cfg.agent)), F.lit(True))).select("id", F.lit(False).alias("__may"))
-    got = got.join(refused, "id", "left").withColumn("allowed", F.coalesce("__may", F.lit(True)))
-    fetched = F.coalesce(F.col("http").between(200, 399), F.lit(False)) & (F.octet_length("body") <= cfg.max_body)
-    got = write_table(got.withColumn("fetched", fetched).withColumn("transient", store.is_transient(F.col("http"), F.col("error_class")) | F.col("__u").isNull()), "fetched")
+    got = _fetched(leased, answers, cfg)
     found: list[DataFrame] = []
     hosts_found: list[DataFrame] = []
+    probed_rows: list[DataFrame] = []
+    statuses: list[DataFrame] = []
+    page_items = None
     next_state = dict(state)
+    order = _seq(0, F.col("id"), F.col("pos") + 2)
 
     # K1: pages
-    pages = got.filter("kind = 'page_fetch' AND allowed AND fetched AND lower(content_type) LIKE '%html%'")
-    pages = write_table(pages.select("id", "depth", links.extract_links_udf(F.coalesce("final_url", "url"), F.col("body").cast("string")).alias("l")), "pages")
-    page_hosts = pages.select("id", F.posexplode("l.hosts").alias("pos", "host"))
-    hints = pages.select("id", F.posexplode("l.hints").alias("pos", "url")).withColumn("host", hosts.host_of(F.col("url")))
-    more = pages.filter(F.col("depth") < cfg.max_depth).select("id", "depth", F.posexplode("l.links").alias("pos", "url")).withColumn("host", hosts.host_of(F.col("url")))
-    order = _seq(0, F.col("id"), F.col("pos") + 2)
-    found.append(_items(page_hosts, F.lit("host_probe"), F.lit(""), F.col("host"), F.lit(0), order))
-    found.append(_items(hints, F.lit("catalog_fetch"), F.col("url"), F.col("host"), F.lit(0), order))
-    page_items = _items(more, F.lit("page_fetch"), F.col("url"), F.col("host"), F.col("depth") + 1, order)
-    hosts_found += [x.select("host", F.lit("anchor").alias("discovery_source"), order.alias("seq")) for x in (page_hosts, hints)]
+    if "page_fetch" in kinds:
+        pages = got.filter("kind = 'page_fetch' AND allowed AND fetched AND lower(content_type) LIKE '%html%'")
+        pages = write_table(pages.select("id", "depth", links.extract_links_udf(F.coalesce("final_url", "url"), F.col("body").cast("string")).alias("l")), "pages")
+        page_hosts = pages.select("id", F.posexplode("l.hosts").alias("pos", "host"))
+        hints = pages.select("id", F.posexplode("l.hints").alias("pos", "url")).withColumn("host", hosts.host_of(F.col("url")))
+        more = pages.filter(F.col("depth") < cfg.max_depth).select("id", "depth", F.posexplode("l.links").alias("pos", "url")).withColumn("host", hosts.host_of(F.col("url")))
+        found.append(_items(page_hosts, F.lit("host_probe"), F.lit(""), F.col("host"), F.lit(0), order))
+        found.append(_items(hints, F.lit("catalog_fetch"), F.col("url"), F.col("host"), F.lit(0), order))
+        page_items = _items(more, F.lit("page_fetch"), F.col("url"), F.col("host"), F.col("depth") + 1, order)
+        hosts_found += [x.select("host", F.lit("anchor").alias("discovery_source"), order.alias("seq")) for x in (page_hosts, hints)]
+        probed_rows.append(hints.select("host", F.lit("link_tag").alias("method"), F.col("url").alias("asked"), F.lit(None).cast("int").alias("http"), F.lit(None).cast("string").alias("content_type"), F.lit("hit").alias("outcome"), F.lit("").alias("detail")))
 
     # K2-K5: host probes
-    probed = leased.filter("kind = 'host_probe'")
-    if not cfg.force:
-        known = state["domains"].filter(store.is_fresh(F.col("last_probed_at"), at, cfg.refresh_hours))
-        probed = probed.join(known.select("host"), "host", "left_anti")
-    seen = write_table(probe(probed, answers), "probes")
-    hits = seen.select("id", "host", F.posexplode("urls").alias("pos", "url"))
-    found.append(_items(hits, F.lit("catalog_fetch"), F.col("url"), F.col("host"), F.lit(0), order))
-    hosts_found.append(probed.select("host", F.lit("seed").alias("discovery_source"), _seq(0, F.col("id"), F.lit(0)).alias("seq")))
+    if "host_probe" in kinds:
+        probed = leased.filter("kind = 'host_probe'")
+        if not cfg.force:
+            known = state["domains"].filter(store.is_fresh(F.col("last_probed_at"), at, cfg.refresh_hours))
+            probed = probed.join(known.select("host"), "host", "left_anti")
+        seen = write_table(probe(probed, answers), "probes")
+        hits = seen.select("id", "host", F.posexplode("urls").alias("pos", "url"))
+        found.append(_items(hits, F.lit("catalog_fetch"), F.col("url"), F.col("host"), F.lit(0), order))
+        hosts_found.append(probed.select("host", F.lit("seed").alias("discovery_source"), _seq(0, F.col("id"), F.lit(0)).alias("seq")))
+        probed_rows.append(seen.select("host", "method", "asked", "http", "content_type", "outcome", "detail"))
+        statuses.append(seen.groupBy("host").agg(F.max(F.col("outcome") == "hit").alias("hit")).filter("NOT hit").select("host", F.lit("not_found").alias("ard_status"), F.lit(0).cast("bigint").alias("seq")))
 
     # K6, K7, K9: catalogs with those embedded in them
-    docs_in = got.filter("kind = 'catalog_fetch' AND fetched").select("id", "host", F.coalesce("final_url", "url").alias("source_url"), "depth", "parent_catalog_id", "body")
-    docs = write_table(docs_in.mapInPandas(_expander(cfg.max_catalog_depth), _DOCS), "documents")
-    hosts_found.append(docs.select("host", F.lit("catalog_ref").alias("discovery_source"), _seq(0, F.col("seq"), F.lit(1)).alias("seq")))
-    domains = write_table(store.upsert_domains(state["domains"], _union(hosts_found), at), "domains")
-    by_host = domains.select("host", F.col("id").alias("domain_id"))
-    docs = docs.join(by_host, "host")
-    if not cfg.force:
-        last = fr.latest(state["catalogs"].select("domain_id", "source_url", "id", "content_hash", "fetched_at"), ["domain_id", "source_url"], ["fetched_at", "id"])
-        docs = docs.join(last.select("domain_id", "source_url", "content_hash"), ["domain_id", "source_url", "content_hash"], "left_anti")
-    numbered = write_table(_number(docs, state["catalogs"], ["seq", "key"]), "new")
-    verified = write_table(verify.verify_documents(numbered, domain=F.col("host")), "verified")
-    parents = numbered.select(F.col("key").alias("__k"), F.col("seq").alias("__s"), F.col("id").alias("__p"))
-    linked = numbered.join(parents, (F.col("parent_key") == F.col("__k")) & (F.col("seq") == F.col("__s")), "left").withColumn("parent_catalog_id", F.coalesce("__p", "parent_catalog_id"))
-    linked = linked.join(verified.select(F.col("catalog_id").alias("id"), F.col("verdict").alias("verification_status")), "id").withColumn("fetched_at", at)
-    next_state["catalogs"] = _append(state["catalogs"], linked, "catalogs")
-    e = numbered.select(F.col("id").alias("catalog_id"), "seq", "host", "depth", F.explode("entries").alias("e")).select("catalog_id", "host", "depth", "e.*")
-    u = urns.parse_urn(urns.with_ascii_publisher(F.col("urn")))
-    e = e.withColumn("u", u).withColumns({"urn_publisher": F.col("u.publisher"), "urn_namespace": F.col("u.namespace"), "urn_name": F.col("u.name"), "source": F.lit("catalog")}).withColumn("id", F.lit(None).cast("bigint"))
-    entries = write_table(_number(e, state["entries"], ["catalog_id", "idx"]), "entries")
-    next_state["entries"] = _append(state["entries"], entries, "entries")
-    rows = verify.split_subjects(verify.check_rows(verified), entries.select("id", "catalog_id", "urn"))
-    next_state["checks"] = _append(state["checks"], rows, "checks")
-
-    # What entries lead to
-    todo = entries.join(linked.filter(F.col("depth") < cfg.max_catalog_depth).select(F.col("id").alias("catalog_id")), "catalog_id", "left_semi")
-    follow = store.followups(todo, cfg.harvest, cfg.fetch_artifacts).join(entries.select(F.col("id").alias("entry_id"), "host", "depth"), "entry_id")
-    late = _seq(1, F.col("entry_id"), F.lit(0))
-    found.append(_items(follow.filter("follow = 'catalog_fetch'"), F.lit("catalog_fetch"), F.col("url"), F.col("host"), F.col("depth") + 1, late, parent_catalog_id=F.col("catalog_id")))
-    found.append(_items(follow.filter("follow = 'artifact_fetch'"), F.lit("artifact_fetch"), F.col("url"), F.col("host"), F.lit(0), late, artifact_entry_id=F.col("entry_id")))
-    listed = follow.filter("follow = 'registry_harvest'").select("entry_id", "catalog_id", F.col("url").alias("base_url"), F.lit("pending").alias("harvest_status"), F.lit(None).cast("bigint").alias("referral_source_id"), "host", F.lit(0).alias("depth"))
+    docs = None
+    if "catalog_fetch" in kinds:
+        docs_in = got.filter("kind = 'catalog_fetch' AND fetched").select("id", "host", F.coalesce("final_url", "url").alias("source_url"), "depth", "parent_catalog_id", "body")
+        docs = write_table(docs_in.mapInPandas(_expander(cfg.max_catalog_depth), _DOCS), "documents")
+        hosts_found.append(docs.select("host", F.lit("catalog_ref").alias("discovery_source"), _seq(0, F.col("seq"), F.lit(1)).alias("seq")))
+    domains = write_table(store.upsert_domains(state["domains"], _union(hosts_found), at), "domains") if hosts_found else state["domains"]
+    next_state["domains"] = domains
+    listed = None
+    if docs is not None and docs.head(1):
+        linked, listed = _save_catalogs(state, next_state, docs, domains, at, cfg, found)
+        statuses.append(linked.select("host", F.when(F.col("verification_status") == "invalid", "found_invalid").otherwise("found_valid").alias("ard_status"), F.col("id").alias("seq")))
 
     # registries
     work = leased.filter("kind = 'registry_harvest'").filter(F.col("depth") <= cfg.max_referral_depth)
     registries = state["registries"]
-    if registry_pages is not None and work.head(1):
-        listed, registries, more_entries = _harvest(spark, state, next_state, work, registry_pages, cfg, listed)
-        next_state["entries"] = more_entries
-    fresh = write_table(_number(listed.withColumn("id", F.lit(None).cast("bigint")), registries, ["entry_id", "base_url"]), "registries")
-    next_state["registries"] = _append(registries, fresh, "registries")
-    found.append(_items(fresh, F.lit("registry_harvest"), F.col("base_url"), F.col("host"), F.col("depth"), _seq(2, F.col("id"), F.lit(0)), registry_row_id=F.col("id")))
+    if registry_pages is not None and "registry_harvest" in kinds and work.head(1):
+        named, registries, next_state["entries"] = _harvest(spark, state, next_state, work, registry_pages, cfg)
+        listed = named if listed is None else listed.unionByName(named)
+        next_state["registries"] = registries
+    if listed is not None:
+        fresh = write_table(_number(listed.withColumn("id", F.lit(None).cast("bigint")), registries, ["entry_id", "base_url"]), "registries")
+        next_state["registries"] = _append(registries, fresh, "registries")
+        found.append(_items(fresh, F.lit("registry_harvest"), F.col("base_url"), F.col("host"), F.col("depth"), _seq(2, F.col("id"), F.lit(0)), registry_row_id=F.col("id")))
 
     # Artifacts, each of the entry whose pointer was followed
-    arts = got.filter("kind = 'artifact_fetch' AND allowed AND (fetched OR NOT transient)")
-    arts = arts.select(
-        F.col("artifact_entry_id").alias("entry_id"), F.coalesce("final_url", "url").alias("url"), F.coalesce("http", F.lit(0)).alias("http_status"), "content_type", F.when(F.col("fetched"), F.col("body")).alias("raw_body"),
-        F.when(F.col("fetched"), F.sha2("body", 256)).alias("content_hash"), F.when(F.col("fetched"), "ok").otherwise("error").alias("fetch_status"), at.alias("fetched_at"),
-    )
-    next_state["artifacts"] = _append(state["artifacts"], arts, "artifacts")
+    if "artifact_fetch" in kinds:
+        arts = got.filter("kind = 'artifact_fetch' AND allowed AND (fetched OR NOT transient)").select(
+            F.col("artifact_entry_id").alias("entry_id"), F.coalesce("final_url", "url").alias("url"), F.coalesce("http", F.lit(0)).alias("http_status"), "content_type", F.when(F.col("fetched"), F.col("body")).alias("raw_body"),
+            F.when(F.col("fetched"), F.sha2("body", 256)).alias("content_hash"), F.when(F.col("fetched"), "ok").otherwise("error").alias("fetch_status"), at.alias("fetched_at"),
+        )
+        next_state["artifacts"] = _append(state["artifacts"], arts, "artifacts")
 
     # Probes and statuses
-    tagged = hints.select("host", F.lit("link_tag").alias("method"), F.col("url").alias("asked"), F.lit(None).cast("int").alias("http"), F.lit(None).cast("string").alias("content_type"), F.lit("hit").alias("outcome"), F.lit("").alias("detail"))
-    rows = write_table(probe_rows(seen.select(*tagged.columns).unionByName(tagged), domains, at), "probe_rows")
-    next_state["probes"] = _append(state["probes"], rows, "probes")
-    silent = seen.groupBy("host").agg(F.max(F.col("outcome") == "hit").alias("hit")).filter("NOT hit").select("host", F.lit("not_found").alias("ard_status"), F.lit(0).cast("bigint").alias("seq"))
-    judged = linked.select("host", F.when(F.col("verification_status") == "invalid", "found_invalid").otherwise("found_valid").alias("ard_status"), "id").withColumnRenamed("id", "seq")
-    next_state["domains"] = write_table(store.update_status(store.record_probes(domains, rows), silent.unionByName(judged)), "domains")
+    if probed_rows:
+        rows = write_table(probe_rows(_union(probed_rows), domains, at), "probe_rows")
+        next_state["probes"] = _append(state["probes"], rows, "probes")
+        domains = store.record_probes(domains, rows)
+    if statuses:
+        domains = store.update_status(domains, _union(statuses))
+    if probed_rows or statuses:
+        next_state["domains"] = write_table(domains, "domains")
 
     # L2: close the items, then take in what was found
     bad = got.filter(~F.col("fetched") & F.col("allowed") & ~((F.col("kind") == "artifact_fetch") & ~F.col("transient")))
@@ -369,12 +357,56 @@ def step(state: State, responses: DataFrame, now: datetime, cfg: Config, registr
     after = fr.fail(after, errors, at, cfg.max_attempts)
     after = fr.complete(after, leased.select("id").join(errors.select("id"), "id", "left_anti"), at)
     after = write_table(after, "frontier")
-    after = write_table(fr.enqueue(after, fr.items(_union(found)), at), "frontier")
-    next_state["frontier"] = write_table(fr.enqueue(after, fr.items(page_items), at, cfg.max_pages_per_host), "frontier")
+    if found:
+        after = write_table(fr.enqueue(after, fr.items(_union(found)), at), "frontier")
+    if page_items is not None:
+        after = write_table(fr.enqueue(after, fr.items(page_items), at, cfg.max_pages_per_host), "frontier")
+    next_state["frontier"] = after
     return next_state
 
 
-def _harvest(spark, state: State, next_state: State, work: DataFrame, pages: DataFrame, cfg: Config, listed: DataFrame):  # noqa: ANN001, ANN202
+def _fetched(leased: DataFrame, answers: DataFrame, cfg: Config) -> DataFrame:
+    """The leased items that need one answer, with it: allowed, fetched, transient."""
+    robots = answers.filter(_http_ok()).filter(F.col("url").endswith("/robots.txt")).select(hosts.host_of(F.col("url")).alias("__rh"), F.col("body").cast("string").alias("robots"))
+    got = leased.filter("kind <> 'host_probe' AND kind <> 'registry_harvest'").join(answers.withColumnRenamed("url", "__u").withColumnRenamed("status", "http"), F.col("url") == F.col("__u"), "left")
+    # Rules are applied to addresses before bodies come in, so that the answers of a host with very many pages stay where they are.
+    asked = leased.filter("kind IN ('page_fetch', 'artifact_fetch')").select("id", "url", hosts.host_of(F.col("url")).alias("__h")).join(robots, F.col("__h") == F.col("__rh"))
+    refused = asked.filter(~F.coalesce(links.robots_allow_udf("robots", "url", F.lit(cfg.agent)), F.lit(True))).select("id", F.lit(False).alias("__may"))
+    got = got.join(refused, "id", "left").withColumn("allowed", F.coalesce("__may", F.lit(True)))
+    fetched = F.coalesce(F.col("http").between(200, 399), F.lit(False)) & (F.octet_length("body") <= cfg.max_body)
+    return write_table(got.withColumn("fetched", fetched).withColumn("transient", store.is_transient(F.col("http"), F.col("error_class")) | F.col("__u").isNull()), "fetched")
+
+
+def _save_catalogs(state: State, next_state: State, docs: DataFrame, domains: DataFrame, at: Column, cfg: Config, found: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Store new documents with their entries and checks, and add what their entries lead to (K7, K8, K10): the catalogs, and the registries they name."""
+    docs = docs.join(domains.select("host", F.col("id").alias("domain_id")), "host")
+    if not cfg.force:
+        last = fr.latest(state["catalogs"].select("domain_id", "source_url", "id", "content_hash", "fetched_at"), ["domain_id", "source_url"], ["fetched_at", "id"])
+        docs = docs.join(last.select("domain_id", "source_url", "content_hash"), ["domain_id", "source_url", "content_hash"], "left_anti")
+    new = write_table(_number(docs, state["catalogs"], ["seq", "key"]), "new")
+    verified = write_table(verify.verify_documents(new, domain=F.col("host")), "verified")
+    parents = new.select(F.col("key").alias("__k"), F.col("seq").alias("__s"), F.col("id").alias("__p"))
+    linked = new.join(parents, (F.col("parent_key") == F.col("__k")) & (F.col("seq") == F.col("__s")), "left").withColumn("parent_catalog_id", F.coalesce("__p", "parent_catalog_id"))
+    linked = linked.join(verified.select(F.col("catalog_id").alias("id"), F.col("verdict").alias("verification_status")), "id").withColumn("fetched_at", at)
+    next_state["catalogs"] = _append(state["catalogs"], linked, "catalogs")
+    e = new.select(F.col("id").alias("catalog_id"), "seq", "host", "depth", F.explode("entries").alias("e")).select("catalog_id", "host", "depth", "e.*")
+    u = urns.parse_urn(urns.with_ascii_publisher(F.col("urn")))
+    e = e.withColumn("u", u).withColumns({"urn_publisher": F.col("u.publisher"), "urn_namespace": F.col("u.namespace"), "urn_name": F.col("u.name"), "source": F.lit("catalog")}).withColumn("id", F.lit(None).cast("bigint"))
+    entries = write_table(_number(e, state["entries"], ["catalog_id", "idx"]), "entries")
+    next_state["entries"] = _append(state["entries"], entries, "entries")
+    rows = verify.split_subjects(verify.check_rows(verified), entries.select("id", "catalog_id", "urn"))
+    next_state["checks"] = _append(state["checks"], rows, "checks")
+    todo = entries.join(new.filter(F.col("depth") < cfg.max_catalog_depth).select(F.col("id").alias("catalog_id")), "catalog_id", "left_semi")
+    follow = store.followups(todo, cfg.harvest, cfg.fetch_artifacts).join(entries.select(F.col("id").alias("entry_id"), "host", "depth"), "entry_id")
+    follow = write_table(follow, "followups")
+    late = _seq(1, F.col("entry_id"), F.lit(0))
+    found.append(_items(follow.filter("follow = 'catalog_fetch'"), F.lit("catalog_fetch"), F.col("url"), F.col("host"), F.col("depth") + 1, late, parent_catalog_id=F.col("catalog_id")))
+    found.append(_items(follow.filter("follow = 'artifact_fetch'"), F.lit("artifact_fetch"), F.col("url"), F.col("host"), F.lit(0), late, artifact_entry_id=F.col("entry_id")))
+    listed = follow.filter("follow = 'registry_harvest'").select("entry_id", "catalog_id", F.col("url").alias("base_url"), F.lit("pending").alias("harvest_status"), F.lit(None).cast("bigint").alias("referral_source_id"), "host", F.lit(0).alias("depth"))
+    return linked.select("host", "verification_status", "id"), listed
+
+
+def _harvest(spark, state: State, next_state: State, work: DataFrame, pages: DataFrame, cfg: Config):  # noqa: ANN001, ANN202
     """Walk the pages of the leased registries: statuses, registry entries, and the registries they and the referrals name."""
     walked = write_table(harvest(work.select(F.col("url").alias("base_url")), pages, cfg.page_limit), "walked")
     ok = walked.groupBy("base_url").agg(F.min(F.when(F.col("status") == 200, 1).otherwise(0)).alias("ok"), F.max(F.when(F.col("status") == 501, 1).otherwise(0)).alias("never"))
@@ -392,16 +424,13 @@ def _harvest(spark, state: State, next_state: State, work: DataFrame, pages: Dat
     named = named.select(F.col("id").alias("entry_id"), "catalog_id", F.col("ref_url").alias("base_url"), F.lit("pending").alias("harvest_status"), F.col("source_registry_id").alias("referral_source_id"), "host", (F.col("depth") + 1).alias("depth"))
     ref = walked.join(own, "base_url").filter(F.col("depth") + 1 <= cfg.max_referral_depth).select("entry_id", "catalog_id", F.col("id").alias("referral_source_id"), "host", (F.col("depth") + 1).alias("depth"), F.explode("referrals").alias("x"))
     ref = ref.filter("x.ref_url <> ''").select("entry_id", "catalog_id", F.col("x.ref_url").alias("base_url"), F.lit("pending").alias("harvest_status"), "referral_source_id", "host", "depth")
-    return listed.unionByName(named).unionByName(ref), registries, entries
+    return named.unionByName(ref), registries, entries
 
 
 def _number(rows: DataFrame, present: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` with ids after the highest present one."""
-    from wharfside.skew import rank_in_group
-
     top = present.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    ranked = rank_in_group(rows.withColumn("__all", F.lit(1)), ["__all"], order, "__rank", "numbers")
-    return ranked.withColumn("id", F.col("__rank") + F.lit(top)).drop("__rank", "__rank_size", "__all")
+    return numbered(rows, order, "__rank", "numbers").withColumn("id", F.col("__rank") + F.lit(top)).drop("__rank")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -414,7 +443,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _append(present: DataFrame, fresh: DataFrame, name: str) -> DataFrame:
     """Present rows and the fresh ones in the table's columns; absent columns are null."""
     columns = [(F.col(f.name) if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in present.schema.fields]
-    return write_table(present.unionByName(fresh.select(*columns)), name)
+    return append_table(present, fresh.select(*columns), name)
 
 
 class Unfinished(RuntimeError):

@@ -10,10 +10,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _LOCAL: list[str] = []
+#: The folders of each table scan that this module has returned and that is still in use.
+_WRITTEN: dict[int, tuple[weakref.ref, list[str]]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -33,7 +37,26 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _scan(spark, df.schema, [path])
+
+
+def append_table(present: DataFrame, fresh: DataFrame, name: str) -> DataFrame:
+    """A table with the rows of ``fresh``, which has its columns, written beside what it has: nothing is written twice.
+
+    ``present`` comes from this function or ``write_table``; any other table is written once, whole.
+    """
+    spark = present.sparkSession
+    if not (paths := _WRITTEN.get(id(present), (None, None))[1]) or _WRITTEN[id(present)][0]() is not present:
+        return write_table(present.unionByName(fresh), name)
+    path = f"{scratch_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    fresh.write.parquet(path)
+    return _scan(spark, present.schema, [*paths, path])
+
+
+def _scan(spark: SparkSession, schema: StructType, paths: list[str]) -> DataFrame:
+    df = spark.read.schema(schema).parquet(*paths)
+    _WRITTEN[id(df)] = (weakref.ref(df, lambda _, key=id(df): _WRITTEN.pop(key, None)), paths)
+    return df
 
 
 def finished_tables(spark: SparkSession, folder: str) -> list[str]:

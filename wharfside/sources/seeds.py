@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wharfside.functions import hosts
-from wharfside.skew import rank_in_group
+from wharfside.skew import numbered
 
 #: Records of one certificate search that are read at most, and its default keywords. Fixed values.
 CRTSH_RECORDS = 100_000
@@ -38,7 +38,7 @@ def listed_seeds(spark: SparkSession, lists: DataFrame, positional: list[str]) -
     given = spark.createDataFrame([(s, i) for i, s in enumerate(positional)], "raw string, ord bigint")
     lines = lists.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw"))
     lines = lines.withColumn("raw", F.trim("raw")).filter("raw <> '' AND NOT startswith(raw, '#')")
-    ranked = rank_in_group(lines.withColumn("__all", F.lit(1)), ["__all"], ["path", "line"], "ord", "lines")
+    ranked = numbered(lines, ["path", "line"], "ord", "lines")
     return given.unionByName(ranked.select("raw", (F.col("ord") + len(positional) - 1).alias("ord")))
 
 
@@ -162,8 +162,8 @@ def ranked_hosts(lines: DataFrame, n: int, offset: int = 0) -> DataFrame:
     Blank, # and short lines don't count; ``offset`` valid lines are skipped before hosts are cleaned and repeated ones dropped.
     """
     parts = F.split("line", "\t")
-    valid = lines.filter((F.trim("line") != "") & ~F.col("line").startswith("#") & (F.size(parts) >= 5)).select(F.lit(1).alias("__all"), "ord", hosts.reverse_host(parts[4]).alias("raw"))
-    ranked = rank_in_group(valid, ["__all"], ["ord"], "__rank", "ranks").filter(F.col("__rank") > offset)
+    valid = lines.filter((F.trim("line") != "") & ~F.col("line").startswith("#") & (F.size(parts) >= 5)).select("ord", hosts.reverse_host(parts[4]).alias("raw"))
+    ranked = numbered(valid, ["ord"], "__rank", "ranks").filter(F.col("__rank") > offset)
     return first_seen(ranked.select("raw", F.col("__rank").alias("ord")), n)
 
 
