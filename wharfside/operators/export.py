@@ -43,14 +43,19 @@ def empty_label(c: str) -> Column:
 def export_lines(joined: DataFrame, form: str, ordered: bool = True) -> DataFrame:
     """(entry_id, value) lines of the export in 'jsonl' or 'csv', by entry_id; CSV starts with a header, whose entry_id is null.
 
-    The order comes from one range exchange; the header is the line before the smallest id.
+    The order comes from one range exchange; lines are made after it, so that its sampling reads rows only. The header is the line before the smallest id.
     """
     if form not in ("jsonl", "csv"):
         raise ValueError(f"unknown export format {form!r}: jsonl or csv")
-    lines = joined.select("entry_id", (json_line if form == "jsonl" else csv_line)(EXPORT_FIELDS).alias("value"))
+    columns = ["entry_id", *EXPORT_FIELDS]
+    rows = joined.select(*columns)
+    line = (json_line if form == "jsonl" else csv_line)(EXPORT_FIELDS)
     if form == "csv":
-        lines = joined.sparkSession.createDataFrame([(None, ",".join(EXPORT_FIELDS))], "entry_id bigint, value string").unionByName(lines)
-    return lines.orderBy(F.col("entry_id").asc_nulls_first()) if ordered or form == "csv" else lines
+        blank = joined.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+        rows, line = rows.unionByName(blank), F.when(F.col("entry_id").isNull(), ",".join(EXPORT_FIELDS)).otherwise(line)
+    if ordered or form == "csv":
+        rows = rows.orderBy(F.col("entry_id").asc_nulls_first())
+    return rows.select("entry_id", line.alias("value"))
 
 
 def write_export(joined: DataFrame, path: str, form: str = "jsonl", ordered: bool = True) -> dict[str, Any]:
