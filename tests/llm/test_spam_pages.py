@@ -155,6 +155,20 @@ def test_held_out_accuracy(spark):
     assert scored.count() == 501
 
 
+def test_all_labelled_pages_are_fitted(spark):
+    """Of more than 3000 labelled pages each counts, and parts summed by Spark give the model and limits of one part."""
+    import numpy as np
+
+    rng = random.Random(5)
+    pages = [(_spam(rng, 1), 1) if i % 5 == 0 else (_prose(rng, 2), -1) for i in range(3200)]
+    documents = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pages)], "doc_id bigint, text string")
+    votes = spark.createDataFrame([(i, "r", "spam" if v > 0 else "page", None) for i, (_, v) in enumerate(pages)], "doc_id bigint, rater string, verdict string, labeled_at timestamp")
+    fitted, alone = spam_pages.fit(spam_pages.labelled_pages(documents, votes)), spam_pages.fit(pages)
+    assert (fitted.low, fitted.high) == (alone.low, alone.high)
+    for name in ("pages", "one", "two", "three", "three_pages"):
+        assert np.array_equal(getattr(fitted.model, name), getattr(alone.model, name))
+
+
 def test_no_labels(spark):
     documents = spark.createDataFrame([(1, "Some text.")], "doc_id bigint, text string")
     votes = spark.createDataFrame([], "doc_id bigint, rater string, verdict string, labeled_at timestamp")

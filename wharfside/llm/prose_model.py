@@ -7,8 +7,11 @@ function word, repetitions, segments, probabilities) is arithmetic on arrays.
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Any
 
 import numpy as np
@@ -245,6 +248,32 @@ def _segment_starts(role: np.ndarray, first: np.ndarray) -> np.ndarray:
 RARE_SHARE, LEAST_PAGES = 0.02, 2.0
 #: Weight of the shorter context, in pages.
 PRIOR = 3.0
+#: Numbers of n-grams: keys of ``Read.contexts`` come first, then from here pairs, single classes and pages, each with its language; and the end.
+PAIRS = len(LANGUAGES) * CLASSES**3
+SINGLES = PAIRS + len(LANGUAGES) * CLASSES**2
+PAGES = SINGLES + len(LANGUAGES) * CLASSES
+GRAMS = PAGES + len(LANGUAGES)
+
+
+def count_grams(read: Read, taken: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the n-grams of the tokens ``taken``, ascending, and the pages each is in; sequences begin at ``starts``."""
+    of, keys = np.divmod(np.unique(read.text[taken] * GRAMS + read.contexts(starts)[taken]), GRAMS)
+    lang = keys // CLASSES**3
+    shorter = (PAIRS + lang * CLASSES**2 + keys % CLASSES**2, SINGLES + lang * CLASSES + keys % CLASSES, PAGES + lang)
+    return np.unique(np.concatenate([keys, *(np.unique(of * GRAMS + g) % GRAMS for g in shorter)]), return_counts=True)
+
+
+def used_contexts(grams: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """Pairs that are a context in any of the models whose counts are the columns of ``pages``; all other keys of three are never looked up.
+
+    A page has only so many distinct pairs and a context is in RARE_SHARE of
+    the pages, so their number doesn't grow with the pages.
+    """
+    whole = np.zeros((len(LANGUAGES), pages.shape[1]))
+    whole[grams[grams >= PAGES] - PAGES] = pages[grams >= PAGES]
+    pair = (grams >= PAIRS) & (grams < SINGLES)
+    number = grams[pair] - PAIRS
+    return number[(pages[pair] >= np.maximum(LEAST_PAGES, RARE_SHARE * whole)[number // CLASSES**2]).any(axis=1)]
 
 
 class ProseModel:
@@ -256,23 +285,32 @@ class ProseModel:
 
     def __init__(self, read: Read, taken: np.ndarray, starts: np.ndarray):
         """Trained on the tokens ``taken`` of ``read``, in sequences that begin at ``starts``."""
-        keys = read.contexts(starts)[taken]
-        page = read.text[taken]
-        self.pages = np.bincount(read.language[np.unique(page)], minlength=len(LANGUAGES))
-        three = np.unique(page * (len(LANGUAGES) * CLASSES**3) + keys)
-        of, keys = three // (len(LANGUAGES) * CLASSES**3), three % (len(LANGUAGES) * CLASSES**3)
-        self.three, self.three_pages = np.unique(keys, return_counts=True)
-        lang = keys // CLASSES**3
-        two = np.unique((of * len(LANGUAGES) + lang) * CLASSES**2 + keys % CLASSES**2) % (len(LANGUAGES) * CLASSES**2)
-        self.two = np.bincount(two, minlength=len(LANGUAGES) * CLASSES**2).astype(np.int32)
-        one = np.unique((of * len(LANGUAGES) + lang) * CLASSES + keys % CLASSES) % (len(LANGUAGES) * CLASSES)
-        self.one = np.bincount(one, minlength=len(LANGUAGES) * CLASSES).reshape(len(LANGUAGES), CLASSES)
+        self._count(*count_grams(read, taken, starts))
+
+    @classmethod
+    def counted(cls, grams: np.ndarray, pages: np.ndarray) -> ProseModel:
+        """From n-grams, ascending, and the pages each is in."""
+        model = cls.__new__(cls)
+        model._count(grams[pages > 0], pages[pages > 0])
+        return model
+
+    def _count(self, grams: np.ndarray, pages: np.ndarray) -> None:
+        ends = np.searchsorted(grams, [PAIRS, SINGLES, PAGES])
+        three, two, one, whole = zip(np.split(grams, ends), np.split(pages, ends), strict=True)
+        self.three, self.three_pages = three
+        self.two = np.zeros(len(LANGUAGES) * CLASSES**2, dtype=np.int32)
+        self.two[two[0] - PAIRS] = two[1]
+        self.one = np.zeros((len(LANGUAGES), CLASSES), dtype=np.int64)
+        self.one.flat[one[0] - SINGLES] = one[1]
+        self.pages = np.zeros(len(LANGUAGES), dtype=np.int64)
+        self.pages[whole[0] - PAGES] = whole[1]
         self._add_totals()
 
     def _add_totals(self) -> None:
         self.all_one = self.one.sum(axis=1)
         self.all_two = self.two.reshape(-1, CLASSES).sum(axis=1)
-        self.all_three = np.bincount(self.three // CLASSES, weights=self.three_pages, minlength=len(LANGUAGES) * CLASSES**2)
+        self.contexts, at = np.unique(self.three // CLASSES, return_inverse=True)
+        self.all_three = np.bincount(at, weights=self.three_pages, minlength=1)
         self.pooled = self.one.sum(axis=0)
 
     def __getstate__(self) -> dict[str, Any]:
@@ -294,9 +332,13 @@ class ProseModel:
         least = np.maximum(LEAST_PAGES, RARE_SHARE * self.pages)[lang]
         short = lang * CLASSES + before
         p = np.where(self.one[lang, before] >= least, (self.two[short * CLASSES + last] + PRIOR * p) / (self.all_two[short] + PRIOR), p)
+        if not len(self.three):
+            return -np.log2(p)
         at = np.minimum(np.searchsorted(self.three, keys), len(self.three) - 1)
-        long = np.where(self.three[at] == keys, self.three_pages[at], 0) if len(self.three) else 0
-        return -np.log2(np.where(self.two[pair] >= least, (long + PRIOR * p) / (self.all_three[pair] + PRIOR), p))
+        of = np.minimum(np.searchsorted(self.contexts, pair), len(self.contexts) - 1)
+        long = np.where(self.three[at] == keys, self.three_pages[at], 0)
+        all_three = np.where(self.contexts[of] == pair, self.all_three[of], 0)
+        return -np.log2(np.where(self.two[pair] >= least, (long + PRIOR * p) / (all_three + PRIOR), p))
 
     def per_token(self, read: Read, starts: np.ndarray) -> np.ndarray:
         keys, at = np.unique(read.contexts(starts), return_inverse=True)
@@ -308,47 +350,134 @@ class ProseModel:
         return np.bincount(read.segment, weights=self.per_token(read, read.text_starts())) / size, np.bincount(read.segment, weights=read.chars), size
 
 
+@dataclass
+class Training:
+    """A model to be trained on the pages outside a fold (-1: on all), in so many rounds."""
+
+    without: int
+    rounds: int
+
+
 class Labelled:
-    """Read pages of which some are prose and some spam, some labels being wrong and some spam pages holding prose."""
+    """Labelled pages read together, of which some are prose and some spam, some labels being wrong and some spam pages holding prose.
+
+    ``votes``: for spam minus for prose. Of as many pages as there are, each
+    belongs to one such part; what parts give is summed.
+    """
 
-    def __init__(self, texts: list[str], prose: list[bool]):
-        self.read = read_texts(texts)
-        self.prose = np.array(prose, dtype=bool)
+    def __init__(self, read: Read, votes: np.ndarray, fold: np.ndarray):
+        self.read, self.votes, self.fold = read, votes, fold
+        self.prose = votes < 0
         # A segment by itself: its contexts are the same in every round.
-        self.keys, self.at = np.unique(self.read.contexts(self.read.segment_starts()), return_inverse=True)
-        self.sizes = np.bincount(self.read.segment)
-        self.order = self.read.segment_starts()
+        self.order = read.segment_starts()
+        self.keys, self.at = np.unique(read.contexts(self.order), return_inverse=True)
+        self.sizes = np.bincount(read.segment)
 
-    def _model(self, chosen: np.ndarray) -> ProseModel:
-        """Trained on the ``chosen`` segments; neighbours that are both chosen are one sequence."""
+    def packed(self) -> bytes:
+        read = self.read
+        small = [(read.codes, np.int16), (read.chars, np.int32), (read.segment, np.int32), (read.text, np.int32), (read.segment_text, np.int32), (read.language, np.int8)]
+        return pickle.dumps(([x.astype(kind) for x, kind in small], self.votes, self.fold))
+
+    @classmethod
+    def unpacked(cls, packed: bytes) -> Labelled:
+        small, votes, fold = pickle.loads(packed)  # noqa: S301: written by this library a moment ago
+        return cls(Read(*(x.astype(np.int64) for x in small)), votes, fold)
+
+    def _grams(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the ``chosen`` segments; neighbours that are both chosen are one sequence."""
         read = self.read
         alone = np.ones(len(chosen), dtype=bool)
         alone[1:] = ~(chosen[:-1] & chosen[1:]) | (read.segment_text[1:] != read.segment_text[:-1])
-        return ProseModel(read, np.flatnonzero(chosen[read.segment]), self.order & alone[read.segment])
+        return count_grams(read, np.flatnonzero(chosen[read.segment]), self.order & alone[read.segment])
 
     def _mean(self, model: ProseModel) -> np.ndarray:
         return np.bincount(self.read.segment, weights=model.surprise(self.keys)[self.at]) / self.sizes
 
-    def train(self, pages: np.ndarray, rounds: int) -> ProseModel:
-        """A prose model from the ``pages`` (a mask) alone.
-
-        Segments start with their page's label; in each round both classes get
-        a model and every segment moves to the one under which it is less
-        surprising. Only the prose model is kept.
-        """
-        inside = pages[self.read.segment_text]
-        good = inside & self.prose[self.read.segment_text]
-        model = self._model(good)
-        for _ in range(rounds if (self.prose & pages).any() and (~self.prose & pages).any() else 0):
-            good = inside & (self._mean(model) <= self._mean(self._model(inside & ~good)))
-            model = self._model(good)
-        return model
+    def inside(self, training: Training) -> np.ndarray:
+        return (self.fold != training.without)[self.read.segment_text]
+
+    def prose_segments(self, before: tuple[ProseModel, ProseModel] | None) -> np.ndarray:
+        """Segments less surprising under the prose model than under the spam model; at first those of pages labelled as prose."""
+        return self.prose[self.read.segment_text] if before is None else self._mean(before[0]) <= self._mean(before[1])
+
+    def bits(self, models: list[ProseModel]) -> tuple[np.ndarray, np.ndarray]:
+        """Per segment: mean surprise under the model of its page's fold, characters."""
+        read = self.read
+        keys, at = np.unique(read.contexts(read.text_starts()), return_inverse=True)
+        bits = np.zeros(len(read.segment_text))
+        for k, model in enumerate(models):
+            own = self.fold[read.segment_text] == k
+            if own.any():
+                bits[own] = (np.bincount(read.segment, weights=model.surprise(keys)[at]) / self.sizes)[own]
+        return bits, np.bincount(read.segment, weights=read.chars)
+
+
+@dataclass
+class Round:
+    """A round of trainings: the n-gram counts of what each takes for prose and for spam, in two columns each.
+
+    ``before`` has the sums of the last round, with the columns of its own
+    trainings; nothing in the first.
+    """
+
+    trainings: list[Training]
+    number: int
+    before: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict[str, Any]:
+        return {k: self.__dict__[k] for k in ("trainings", "number", "before")}
+
+    @cached_property
+    def models(self) -> list[tuple[ProseModel, ProseModel] | None]:
+        if self.before is None:
+            return [None] * len(self.trainings)
+        grams, pages = self.before
+        return [(ProseModel.counted(grams, pages[:, 2 * i]), ProseModel.counted(grams, pages[:, 2 * i + 1])) for i in range(len(self.trainings))]
+
+    @property
+    def width(self) -> int:
+        return 2 * len(self.trainings)
+
+    def __call__(self, part: Labelled) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for training, before in zip(self.trainings, self.models, strict=True):
+            inside, good = part.inside(training), part.prose_segments(before)
+            # The spam model is needed for another round only.
+            found += [part._grams(inside & good), part._grams(inside & ~good & (self.number < training.rounds))]
+        grams, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+        pages = np.zeros((len(grams), self.width), dtype=np.int64)
+        pages[at, np.repeat(np.arange(self.width), [len(g) for g, _ in found])] = np.concatenate([n for _, n in found])
+        return grams, pages
+
+
+Sums = tuple[np.ndarray, np.ndarray]
+
+
+def train(trainings: list[Training], total: Callable[[Round], Sums]) -> list[ProseModel]:
+    """The prose model of each training. ``total`` sums what a round gives for all parts; keys of three without a used context may be left out.
+
+    Segments start with their page's label; in each round both classes get a
+    model and every segment moves to the one under which it is less
+    surprising. Only the prose model is kept.
+    """
+    out: dict[int, ProseModel] = {}
+    open_, before, number = list(range(len(trainings))), None, 0
+    while open_:
+        grams, pages = total(Round([trainings[i] for i in open_], number, before))
+        for at, i in enumerate(open_):
+            if trainings[i].rounds == number:
+                out[i] = ProseModel.counted(grams, pages[:, 2 * at])
+        stay = [at for at, i in enumerate(open_) if trainings[i].rounds > number]
+        before = (grams, pages[:, [2 * at + c for at in stay for c in (0, 1)]])
+        open_, number = [open_[at] for at in stay], number + 1
+    return [out[i] for i in range(len(trainings))]
 
 
 def train_on_prose(pages: list[str], spam: list[str], rounds: int = 4) -> ProseModel:
-    """A prose model from labelled texts; see ``Labelled.train``."""
-    labelled = Labelled([*pages, *spam], [True] * len(pages) + [False] * len(spam))
-    return labelled.train(np.ones(len(pages) + len(spam), dtype=bool), rounds)
+    """A prose model from labelled texts; see ``train``."""
+    n = len(pages) + len(spam)
+    part = Labelled(read_texts([*pages, *spam]), np.repeat([-1, 1], [len(pages), len(spam)]), np.zeros(n, dtype=np.int64))
+    return train([Training(-1, rounds if pages and spam else 0)], lambda step: step(part))[0]
 
 
 def abnormal_share(read: Read, texts: int, bits: np.ndarray, chars: np.ndarray, low: float, high: float) -> np.ndarray:
